@@ -21,7 +21,26 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, pages.join(labels, "page_id").select("url", "block"), URL_RULES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filter": op1_url_filter}
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 ids."""
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one with control strings in its texts, read back from the formatted turns."""
+    from .chat import conversation_digests, format_turns
+
+    tricky = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return conversation_digests(format_turns(turns))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {}
 
 
