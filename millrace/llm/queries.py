@@ -30,6 +30,21 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text stored as an image in tar shards and read back."""
+    from .media import media_columns
+
+    out = media_columns(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector."""
+    from .topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one with control strings in its texts, read back from the formatted turns."""
     from .chat import conversation_digests, format_turns
@@ -40,7 +55,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_turns(turns))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op10_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op4_media_columns, op7_exact_topk, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {}
 
 
