@@ -45,6 +45,15 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by streaming Viterbi and decoded again."""
+    import public_tokenizers
+
+    from .sentencepiece_viterbi import encode_digests
+
+    return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one with control strings in its texts, read back from the formatted turns."""
     from .chat import conversation_digests, format_turns
@@ -55,7 +64,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_turns(turns))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op4_media_columns, op7_exact_topk, op10_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op4_media_columns, op7_exact_topk, op8_sentencepiece, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {}
 
 
