@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,47 +28,81 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Two neighbours that some regex engine may call white space: such texts are tokenised whole.
 _DOUBLE_SPACE = re.compile("[\\s᠎​﻿][\\s᠎​﻿]")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
+#: Fixed value: the pre-tokenizer's pattern.
+PIECE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class WordCachedTokenizer:
-    """Byte-level BPE ids from `tokenizers`, with a bounded cache over space-delimited chunks.
+    """Byte-level BPE ids from `tokenizers`, with bounded caches over space-delimited chunks and over their pieces.
 
     The pre-tokenizer never lets a piece run across a space that follows a non-space, so a text without doubled
-    white space can be cut before every space and each distinct chunk encoded once.
+    white space can be cut before every space.  A chunk that is new is cut by the pre-tokenizer's own pattern, and the
+    pieces that are new go through the library in one batch.  Both caches keep two generations.
     """
 
     def __init__(self, path: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """uint32 ids of each text."""
-        cache, whole, parts = self.cache, {}, []
+        self.pattern = regex.compile(PIECE)
+        self.chunks: dict[str, bytes] = {}  # ids of " " + chunk
+        self.pieces: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
+
+    def by_library(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for lo in range(0, len(texts), 4096):  # the library's results are large: few at a time
+            out += [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False)]
+        return out
+
+    def learn(self, words: set[str]) -> None:
+        """Fill the chunk cache for words that follow a space."""
+        if len(self.chunks) > CACHE_WORDS:
+            self.old_chunks, self.chunks = self.chunks, {}
+        if len(self.pieces) > CACHE_WORDS:
+            self.old_pieces, self.pieces = self.pieces, {}
+        again = words & self.old_chunks.keys()
+        self.chunks.update((w, self.old_chunks[w]) for w in again)
+        cut_words = [(w, self.pattern.findall(" " + w)) for w in words - again]
+        pieces = {p for _, own in cut_words for p in own}.difference(self.pieces)
+        again = pieces & self.old_pieces.keys()
+        self.pieces.update((p, self.old_pieces[p]) for p in again)
+        new = list(pieces - again)
+        self.pieces.update(zip(new, self.by_library(new), strict=True))
+        ids = self.pieces.__getitem__
+        self.chunks.update((w, b"".join(map(ids, own))) for w, own in cut_words)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, little-endian unsigned 32-bit."""
+        whole = [i for i, text in enumerate(texts) if _DOUBLE_SPACE.search(text)]
+        plain = set(range(len(texts))).difference(whole)
+        words = {i: texts[i].split(" ") for i in plain}
         missing: set[str] = set()
-        for i, text in enumerate(texts):
-            if _DOUBLE_SPACE.search(text):
-                whole[i] = None
-                parts.append(())
-                continue
-            head, *rest = text.split(" ")
-            chunks = [head, *(" " + x for x in rest)] if rest else [head]
-            parts.append(chunks)
-            missing.update(x for x in chunks if x not in cache)
+        for own in words.values():
+            missing.update(set(own[1:]).difference(self.chunks))
         if missing:
-            if len(cache) + len(missing) > CACHE_WORDS:
-                cache.clear()
-                missing = {x for chunks in parts for x in chunks}
-            words = list(missing)
-            for word, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                cache[word] = np.asarray(e.ids, "<u4").tobytes()
-        if whole:
-            for i, e in zip(whole, self.tok.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-                whole[i] = np.asarray(e.ids, "<u4")
-        return [whole[i] if i in whole else np.frombuffer(b"".join([cache[x] for x in chunks]), "<u4") for i, chunks in enumerate(parts)]
+            self.learn(missing)
+            if absent := {w for own in words.values() for w in own[1:]}.difference(self.chunks):  # the generation turned
+                self.learn(absent)
+        ids, out = self.chunks.__getitem__, dict(zip(whole, self.by_library([texts[i] for i in whole]), strict=True))
+        heads = sorted(words)
+        for i, head in zip(heads, self.by_library([words[i][0] for i in heads]), strict=True):
+            out[i] = head + b"".join(map(ids, words[i][1:]))
+        return [out[i] for i in range(len(texts))]
+
+
+_TOKENIZERS: dict[str, WordCachedTokenizer] = {}
+
+
+def tokenizer(path: str) -> WordCachedTokenizer:
+    """One tokenizer, with its caches, for each worker process."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordCachedTokenizer(path)
+    return _TOKENIZERS[path]
 
 
 def cut(n: int, seq_len: int) -> list[tuple[int, int]]:
@@ -84,14 +119,15 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 def tokenize_pieces(make: Callable[[], WordCachedTokenizer], seq_len: int, end_id: int, keep_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = make()
+        end = int(end_id).to_bytes(4, "little")
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 out: list[list] = [[] for _ in range(5 + keep_ids)]
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 for doc, ids in zip(part.column(0).to_pylist(), tok.encode(texts), strict=True):
-                    data = ids.tobytes() + int(end_id).to_bytes(4, "little")
-                    for k, (start, length) in enumerate(cut(len(ids) + 1, seq_len)):
+                    data = ids + end
+                    for k, (start, length) in enumerate(cut(len(data) // 4, seq_len)):
                         own = data[4 * start : 4 * (start + length)]
                         for column, value in zip(out, (doc, k, start, length, zlib.crc32(own), own), strict=False):
                             column.append(value)
@@ -160,7 +196,7 @@ def pack(
     """Pack documents: one row a piece with doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, little-endian
     unsigned 32-bit, with keep_ids)."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    run = tokenize_pieces(lambda: WordCachedTokenizer(vocab), seq_len, end_id, keep_ids)
+    run = tokenize_pieces(lambda: tokenizer(vocab), seq_len, end_id, keep_ids)
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
     dealt = pieces.hint("rebalance", F.col("doc_id"), F.col("piece"))
     return dealt.mapInArrow(pack_stream(seq_len, open_bins), schema + ", sequence_id long, offset long")

@@ -30,6 +30,30 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents from 16 shards, dealt by a hash of the id, into 24 of equal row counts; read back from the files."""
+    from .resharding import read_shards, reshard
+
+    docs = table(spark, sf_dir, "documents")
+    uri, _ = reshard(docs, F.pmod(F.xxhash64("doc_id"), F.lit(16)), 24)
+    text = F.coalesce("text", F.lit(""))
+    return read_shards(spark, uri, docs.select("doc_id", "text").schema).select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def good_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+
+
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents kept by importance resampling towards labelled documents of quality 1 that are not toxic."""
+    from .quality import selected_ids
+
+    return selected_ids(table(spark, sf_dir, "documents"), good_labels(spark, sf_dir))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text stored as an image in tar shards and read back."""
     from .media import media_columns
@@ -64,7 +88,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_turns(turns))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op4_media_columns, op7_exact_topk, op8_sentencepiece, op10_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op3_flow_resharding, op4_media_columns, op6_importance_resampling, op7_exact_topk, op8_sentencepiece, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {}
 
 
