@@ -17,7 +17,6 @@ are packed one by one; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -26,73 +25,79 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Two neighbours that some regex engine may call white space: such texts are tokenised whole.
-_DOUBLE_SPACE = re.compile("[\\s᠎​﻿][\\s᠎​﻿]")
+#: Characters that some regex engine may call white space though Python doesn't.
+_ODD_SPACE = "\u180e\u200b\ufeff"
 CACHE_WORDS = 250_000
 #: Fixed value: the pre-tokenizer's pattern.
 PIECE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def doubled_space(text: str) -> bool:
+    """Whether white space may stand beside white space."""
+    core = text.strip()
+    return (
+        len(" ".join(core.split())) != len(core)
+        or text[:2].isspace() and len(text) > 1
+        or text[-2:].isspace() and len(text) > 1
+        or not text.isascii() and any(c in text for c in _ODD_SPACE)
+    )
+
+
+class ChunkIds(dict):
+    """Ids of a space and a chunk, by chunk; new chunks are encoded when they are asked for."""
+
+    def __init__(self, encode: Callable[[str], list[int]], old: dict[str, bytes]) -> None:
+        self.encode, self.old = encode, old
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = array("I", self.encode(" " + chunk)).tobytes()
+        self[chunk] = ids
+        return ids
+
+
+def byte_of_char() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: visible Latin-1 characters stand for
+    themselves, the other bytes in order for the characters from 256 on."""
+    visible = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
 class WordCachedTokenizer:
-    """Byte-level BPE ids from `tokenizers`, with bounded caches over space-delimited chunks and over their pieces.
+    """The ids that `tokenizers` gives for a byte-level BPE file, with a bounded cache over space-delimited chunks.
 
     The pre-tokenizer never lets a piece run across a space that follows a non-space, so a text without doubled
-    white space can be cut before every space.  A chunk that is new is cut by the pre-tokenizer's own pattern, and the
-    pieces that are new go through the library in one batch.  Both caches keep two generations.
+    white space can be cut before every space and each chunk encoded once.  Chunks are merged by `tiktoken` from the
+    file's own vocabulary, whose ids are in merge order, at a fifth of the cost; texts that can't be cut go through
+    `tokenizers` whole.  Tests hold the two equal.  The cache keeps two generations.
     """
 
     def __init__(self, path: str) -> None:
-        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.pattern = regex.compile(PIECE)
-        self.chunks: dict[str, bytes] = {}  # ids of " " + chunk
-        self.pieces: dict[str, bytes] = {}
-        self.old_chunks: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
-
-    def by_library(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for lo in range(0, len(texts), 4096):  # the library's results are large: few at a time
-            out += [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False)]
-        return out
-
-    def learn(self, words: set[str]) -> None:
-        """Fill the chunk cache for words that follow a space."""
-        if len(self.chunks) > CACHE_WORDS:
-            self.old_chunks, self.chunks = self.chunks, {}
-        if len(self.pieces) > CACHE_WORDS:
-            self.old_pieces, self.pieces = self.pieces, {}
-        again = words & self.old_chunks.keys()
-        self.chunks.update((w, self.old_chunks[w]) for w in again)
-        cut_words = [(w, self.pattern.findall(" " + w)) for w in words - again]
-        pieces = {p for _, own in cut_words for p in own}.difference(self.pieces)
-        again = pieces & self.old_pieces.keys()
-        self.pieces.update((p, self.old_pieces[p]) for p in again)
-        new = list(pieces - again)
-        self.pieces.update(zip(new, self.by_library(new), strict=True))
-        ids = self.pieces.__getitem__
-        self.chunks.update((w, b"".join(map(ids, own))) for w, own in cut_words)
+        byte = byte_of_char()
+        ranks = {bytes(map(byte.__getitem__, piece)): i for piece, i in self.tok.get_vocab(with_added_tokens=False).items() if set(piece) <= byte.keys() and not piece.startswith("<|")}
+        self.merge = tiktoken.Encoding("own", pat_str=PIECE, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.chunks = ChunkIds(self.merge, {})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian unsigned 32-bit."""
-        whole = [i for i, text in enumerate(texts) if _DOUBLE_SPACE.search(text)]
-        plain = set(range(len(texts))).difference(whole)
-        words = {i: texts[i].split(" ") for i in plain}
-        missing: set[str] = set()
-        for own in words.values():
-            missing.update(set(own[1:]).difference(self.chunks))
-        if missing:
-            self.learn(missing)
-            if absent := {w for own in words.values() for w in own[1:]}.difference(self.chunks):  # the generation turned
-                self.learn(absent)
-        ids, out = self.chunks.__getitem__, dict(zip(whole, self.by_library([texts[i] for i in whole]), strict=True))
-        heads = sorted(words)
-        for i, head in zip(heads, self.by_library([words[i][0] for i in heads]), strict=True):
-            out[i] = head + b"".join(map(ids, words[i][1:]))
-        return [out[i] for i in range(len(texts))]
+        if len(self.chunks) > CACHE_WORDS:
+            self.chunks.old = {}
+            self.chunks = ChunkIds(self.merge, self.chunks)
+        ids, out = self.chunks.__getitem__, []
+        for text in texts:
+            if doubled_space(text):
+                out.append(array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes())
+            else:
+                head, *rest = text.split(" ")
+                out.append(array("I", self.merge(head)).tobytes() + b"".join(map(ids, rest)))
+        return out
 
 
 _TOKENIZERS: dict[str, WordCachedTokenizer] = {}
