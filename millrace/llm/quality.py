@@ -1,12 +1,15 @@
 """Quality selection by importance resampling.
 
-Two hashed n-gram models, of target text (documents labelled good) and of raw text (all documents), give each
-document the log ratio of its probabilities, a sum over its word and word-pair tokens of log p(token) / q(token); the
-ratio of a token seen c times in target text where e times were to be expected is (c + a) / (e + a).  The mean that a
-token of target text has is taken off each token, so that the sum does not grow with length.  Documents are then
-drawn without replacement by Gumbel top-k: the k greatest of log weight + Gumbel noise, where the noise comes from a
-hash of the id and so is the same on every attempt.  k is how many documents reach the log weight that separates the
-labelled documents best; with no labels of either kind everything is kept.
+Two hashed n-gram models, of target text (documents labelled good) and of raw text (all documents), say in what share
+of documents each n-gram occurs.  N-grams are words or runs of marks (n = 1) and, for n from 2 to 9, "a word n times in
+a row", whichever word it is; general pairs are left out because their collisions with pairs of bad documents cost more
+clean documents than they help to find bad ones (figures in the README).  A document's
+log weight is the sum, over the n-grams in it, of log((c + a) / (e + a)),
+where c target documents hold the n-gram and e would if target text were like raw text; a ratio counts only where c
+and e differ by `MIN_Z` standard deviations and the ratio by `MIN_RATIO`, so that chance doesn't add up in long texts.
+Documents are then drawn without replacement by Gumbel top-k: the k greatest of log weight + Gumbel noise, where the
+noise comes from a hash of the id and so is the same on every attempt.  k is how many documents reach the log weight
+that separates the labelled documents best; with no labels of either kind everything is kept.
 
 Counts cover every document, in a table of fixed size (2**20 buckets).  Labels enter as a bounded, documented sample
 (`max_labels`, those with the least hash of their id), which is what is broadcast, with the fixed-size ratio table.
@@ -30,15 +33,16 @@ from pyspark.sql import DataFrame, functions as F
 from .common import drop_path, scratch
 
 BUCKETS = 1 << 20
+RUNS = 9  # buckets 0 to 8: the longest run of one word, from 1 to 9 or more
 CHUNK = 1 << 14
 MAX_LABELS = 50_000
-PRIOR = 2.0
+PRIOR, MIN_Z, MIN_RATIO = 0.5, 3.0, 0.5
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _WORDS: dict[str, int] = {}
 
 
 def token_buckets(text: str) -> np.ndarray:
-    """Buckets of a text's words (or runs of marks) and of its neighbouring pairs."""
+    """The distinct buckets of a text's n-grams."""
     import xxhash
 
     words = _TOKEN.findall(text.lower())
@@ -52,12 +56,13 @@ def token_buckets(text: str) -> np.ndarray:
                 _WORDS[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
         ids = [_WORDS[w] for w in words]
     h = np.array(ids, "u8")
-    pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(44)
-    return np.concatenate([h & np.uint64(BUCKETS - 1), pairs]).astype("i8")
+    ends = np.flatnonzero(np.append(h[1:] != h[:-1], True)) if len(h) else np.zeros(0, "i8")
+    longest = int(np.diff(ends, prepend=-1).max(initial=1))  # of a word in a row
+    return np.append(np.unique(h % np.uint64(BUCKETS - RUNS)).astype("i8") + RUNS, min(longest, RUNS) - 1)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, good) to chunks of the two count tables."""
+    """(text, good) to chunks of the two tables of document counts; chunk -1 has the numbers of documents."""
     totals = np.zeros((2, BUCKETS), "i8")
     held: list[list[np.ndarray]] = [[], []]
 
@@ -67,21 +72,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row += np.bincount(np.concatenate(parts), minlength=BUCKETS)
                 parts.clear()
 
-    n = 0
+    n, docs = 0, [0, 0]
     for batch in batches:
         for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if not text:
                 continue
             own = token_buckets(text)
             held[1].append(own)
+            docs[1] += 1
             if good:
                 held[0].append(own)
+                docs[0] += 1
             n += len(own)
             if n > 2_000_000:
                 settle()
                 n = 0
     settle()
     rows = [(c, *(totals[i, c * CHUNK : (c + 1) * CHUNK].tobytes() for i in range(2))) for c in range(BUCKETS // CHUNK) if totals[1, c * CHUNK : (c + 1) * CHUNK].any()]
+    rows.append((-1, *(np.array([d], "i8").tobytes() for d in docs)))
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "good", "raw"])
 
 
@@ -97,7 +105,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """log_ratio: of each bucket, less the mean of target text."""
+    """log_ratio: of each bucket."""
 
     log_ratio: np.ndarray
     seed: int = 1
@@ -127,15 +135,24 @@ def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """The ratio table from all documents; docs has `_good`."""
     shape = "chunk int, good binary, raw binary"
     counted = docs.select(text_col, F.coalesce("_good", F.lit(False)).alias("good")).mapInArrow(_count, shape)
-    good, raw = np.zeros(BUCKETS, "i8"), np.zeros(BUCKETS, "i8")
+    good, raw, docs_good, docs_raw = np.zeros(BUCKETS, "i8"), np.zeros(BUCKETS, "i8"), 0, 0
     for r in counted.repartition("chunk").mapInArrow(_merge, shape).collect():  # a table of fixed size
-        good[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.good, "i8")
-        raw[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.raw, "i8")
-    if not good.sum():
-        return Model(np.zeros(BUCKETS, "f4"))
-    expected = raw * (good.sum() / raw.sum())
+        if r.chunk < 0:
+            docs_good, docs_raw = int(np.frombuffer(r.good, "i8")[0]), int(np.frombuffer(r.raw, "i8")[0])
+        else:
+            good[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.good, "i8")
+            raw[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.raw, "i8")
+    return Model(log_ratios(good, raw, docs_good, docs_raw))
+
+
+def log_ratios(good: np.ndarray, raw: np.ndarray, docs_good: int, docs_raw: int) -> np.ndarray:
+    if not docs_good:
+        return np.zeros(len(raw), "f4")
+    share = docs_good / docs_raw
+    expected = raw * share
+    z = (good - expected) / np.sqrt(np.maximum(expected * (1 - share), 1e-9))
     ratio = np.log((good + PRIOR) / (expected + PRIOR))
-    return Model((ratio - (good * ratio).sum() / good.sum()).astype("f4"))
+    return np.where((np.abs(z) >= MIN_Z) & (np.abs(ratio) >= MIN_RATIO), ratio, 0).astype("f4")
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", weight: str = "log_weight", key: str = "sample_key") -> DataFrame:
@@ -152,7 +169,10 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def separating(sample: list[tuple[float, bool]]) -> float | None:
-    """The weight from which on documents count as good: greatest share of good ones kept less share of others kept."""
+    """The weight from which on documents count as good: greatest share of good ones kept less share of others kept.
+
+    It is 0 at most, so that a document with nothing against it is kept.
+    """
     good, n = sum(g for _, g in sample), len(sample)
     if good in (0, n):
         return None
@@ -160,9 +180,9 @@ def separating(sample: list[tuple[float, bool]]) -> float | None:
     ordered = sorted(sample, reverse=True)
     for i, (w, g) in enumerate(ordered):
         kept_good, kept_bad = kept_good + g, kept_bad + (not g)
-        if (i + 1 == n or ordered[i + 1][0] < w) and (gain := kept_good / good - kept_bad / (n - good)) > best:
+        if w <= 0 and (i + 1 == n or ordered[i + 1][0] < w) and (gain := kept_good / good - kept_bad / (n - good)) > best:
             best, at = gain, (w + ordered[i + 1][0]) / 2 if i + 1 < n else w
-    return at
+    return 0.0 if at is None else at
 
 
 def kth_greatest(keys: DataFrame, column: str, k: int, most: int = 5000, bins: int = 4096) -> float:
