@@ -1,10 +1,12 @@
-"""Media columns: payloads stored once, by content, in tar shards; rows carry digest, shard, offset and length.
+"""Media columns: payloads addressed by content, in tar shards; rows carry digest, shard, offset and length.
 
 A text's UTF-8 bytes, padded with zero bytes to a positive multiple of 64, are the samples of an 8-bit greyscale PNG
-64 pixels wide.  Storing: map tasks encode, drop what they have already sent, and deal the encoded payloads by
-digest; each writing task sorts its payloads by digest, keeps one of each and appends it to tar shards in the shared
-folder, reached through its URI.  A shard's name holds the attempt, and only names in the committed manifest count,
-so a lost executor or a speculative copy leaves at most an unreferenced file.  Reading: header-only range reads fill
+64 pixels wide.  Storing: each map task encodes the
+payloads that are new to it and appends them to tar shards of its own in the shared folder, reached through its URI;
+payloads are never shuffled, only their places are.  A payload is addressed by its digest: of the places that tasks
+report for a digest the manifest names one, so that a text that fills a third of the table is stored once a task at
+most and read once.  A shard's name holds the attempt, and only names in the committed manifest count, so a lost
+executor or a speculative copy leaves at most an unreferenced file.  Reading: header-only range reads fill
 the metadata columns (width, height, bits); full reads give digests and features.  Documents meet their payload by
 digest; rows that repeat a text, even a third of the table, share one payload, and that join is Spark's, which
 splits hot keys.
@@ -16,7 +18,6 @@ other columns are ignored; texts of any length work, as an image's height is unb
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import tarfile
 import uuid
@@ -84,40 +85,33 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sent: set[bytes] = set()
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            out = []
-            for payload in batch.column(0).slice(lo, 256).to_pylist():
-                digest = hashlib.sha256(payload).digest()
-                if digest[:16] not in sent:
-                    sent.add(digest[:16])
-                    out.append((digest.hex(), encode_png(payload)))
-            if len(sent) > 1_000_000:  # only a map-side saving: the writer drops what repeats
-                sent.clear()
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate((pa.string(), pa.binary()))], names=["digest", "media"])
-
-
 def _write(uri: str):
+    """Payloads to tar shards of this task; rows say where each lies."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = open_store(uri)
         store.create_dir(base, recursive=True)
-        tag, shard, sink, at, last = uuid.uuid4().hex[:12], 0, None, 0, None
+        tag, shard, sink, at = uuid.uuid4().hex[:12], 0, None, 0
+        sent: set[bytes] = set()
         for batch in batches:
             rows = []
-            for digest, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if digest == last:
+            for payload in batch.column(0):
+                payload = payload.as_py()
+                digest = hashlib.sha256(payload)
+                if digest.digest()[:16] in sent:
                     continue
-                last = digest
+                if len(sent) > 1_000_000:  # it only saves space: the manifest names one place anyway
+                    sent.clear()
+                sent.add(digest.digest()[:16])
                 if sink is None:
                     name, at = f"shard-{tag}-{shard:05d}.tar", 0
                     sink = store.open_output_stream(f"{base}/{name}")
-                info = tarfile.TarInfo(f"{digest}.png")
+                media = encode_png(payload)
+                info = tarfile.TarInfo(f"{digest.hexdigest()}.png")
                 info.size = len(media)
                 head = info.tobuf(tarfile.USTAR_FORMAT)
                 sink.write(head + media + b"\0" * (-len(media) % 512))
-                rows.append((digest, name, at + len(head), len(media)))
+                rows.append((digest.hexdigest(), name, at + len(head), len(media)))
                 at += len(head) + len(media) + -len(media) % 512
                 if at >= SHARD_BYTES:
                     sink.write(b"\0" * 1024)
@@ -136,13 +130,13 @@ MANIFEST = "digest string, shard string, offset long, length long"
 
 
 def store_payloads(payloads: DataFrame, uri: str) -> DataFrame:
-    """Write each distinct payload once into tar shards under `uri`; returns the manifest (digest, shard, offset, length).
+    """Write payloads into tar shards under `uri`; returns the manifest: one place (digest, shard, offset, length) a digest.
 
     payloads: one binary column.  The manifest is a committed table in the shared folder.
     """
-    media = payloads.mapInArrow(_encode, "digest string, media binary")
-    dealt = media.repartition("digest").sortWithinPartitions("digest")
-    return stored(dealt.mapInArrow(_write(uri), MANIFEST), "media-manifest")
+    places = stored(payloads.mapInArrow(_write(uri), MANIFEST), "media-places")
+    one = places.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.*")
+    return one.repartition("shard").sortWithinPartitions("shard", "offset")
 
 
 def read_metadata(manifest: DataFrame, uri: str) -> DataFrame:
