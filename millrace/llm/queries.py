@@ -85,6 +85,15 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its line counts and the digest of what is left of its text."""
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    left = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
+    return out.select("doc_id", "n_lines", "n_dropped_lines", left, F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one with control strings in its texts, read back from the formatted turns."""
     from .chat import conversation_digests, format_turns
@@ -95,7 +104,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_turns(turns))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op3_flow_resharding, op4_media_columns, op5_ngram_jaccard, op6_importance_resampling, op7_exact_topk, op8_sentencepiece, op10_chat_format)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op3_flow_resharding, op4_media_columns, op5_ngram_jaccard, op6_importance_resampling, op7_exact_topk, op8_sentencepiece, op9_line_dedup, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {}
 
 
