@@ -37,10 +37,9 @@ def op3_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     uri, _ = reshard(docs, F.pmod(F.xxhash64("doc_id"), F.lit(16)), 24)
     text = F.coalesce("text", F.lit(""))
-    return read_shards(spark, uri, docs.select("doc_id", "text").schema).select(
-        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("rows").alias("law"),
-        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
-    )
+    digests = [F.col("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32")]
+    rows = read_shards(spark, uri, docs.select("doc_id", "text").schema, digests)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def good_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

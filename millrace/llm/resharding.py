@@ -175,10 +175,13 @@ def reshard(
     return uri, transfers
 
 
-def read_shards(spark: SparkSession, uri: str, schema) -> DataFrame:
-    """Rows of the written shards with `shard` and `slot` (gapless from 0 in each shard)."""
+def read_shards(spark: SparkSession, uri: str, schema: StructType, columns: list[Column]) -> DataFrame:
+    """Columns of the written shards' rows with `shard` and `slot` (gapless from 0 in each shard).
+
+    The columns are computed where the files are read, so that only they meet the files' bases, and texts aren't moved.
+    """
     rows = spark.read.schema(StructType([*schema.fields, StructField("shard", IntegerType())])).parquet(uri)
-    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    rows = rows.select(*columns, "shard", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     files = spark.read.schema("shard int").parquet(uri).select("shard", F.col("_metadata.file_path").alias("_file"))
     counts = files.groupBy("shard", "_file").agg(F.count("*").alias("_n"))
     base = counts.select("_file", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_file")) - F.col("_n")).alias("_first"))
