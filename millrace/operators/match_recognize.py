@@ -25,6 +25,7 @@ def match_recognize(df: DataFrame, partition: list[str], order: list[str], defin
     text = " ".join(define.values())
     shifted = df.select("*", *(F.expr(f"{f}(`{c}`) {over}").alias(f"{p}_{c}") for c in df.columns for p, f in (("prev", "lag"), ("next", "lead")) if f"{p}_{c}" in text))
     flags = [F.coalesce(F.expr(define[v]), F.lit(False)).alias(f"_is_{v}") if v in define else F.lit(True).alias(f"_is_{v}") for v in names]
+    columns = list(df.columns)
     marked = shifted.select(*df.columns, *flags)
     # each variable is a class of the letters of the sets of variables that a row can be
     regex = re.sub(r"[A-Za-z_]\w*", lambda m: f"(?:@{letters[m[0]]})", pattern)
@@ -46,12 +47,12 @@ def match_recognize(df: DataFrame, partition: list[str], order: list[str], defin
                 break
             if m.end() > m.start():
                 number += 1
-                part = group.iloc[m.start() : m.end()][list(df.columns)].copy()
+                part = group.iloc[m.start() : m.end()][columns].copy()
                 part["match_number"] = number
                 part["classifier"] = [next(v for i, v in enumerate(names) if masks[k] >> i & 1) for k in range(m.start(), m.end())]
                 out.append(part)
             at = m.end() if skip_past and m.end() > m.start() else m.start() + 1
-        return pd.concat(out) if out else group.iloc[:0][list(df.columns)].assign(match_number=pd.Series(dtype="int64"), classifier=pd.Series(dtype="object"))
+        return pd.concat(out) if out else group.iloc[:0][columns].assign(match_number=pd.Series(dtype="int64"), classifier=pd.Series(dtype="object"))
 
     schema = StructType([*df.schema.fields, StructField("match_number", LongType()), StructField("classifier", StringType())])
     return marked.groupBy(*partition).applyInPandas(run, schema)
