@@ -2,9 +2,11 @@
 
 Every block of candidates keeps one sorted list per dimension.  For a query the lists are read in step, from the
 end that raises the score; each candidate has a lower bound (its seen terms, and the least possible of the rest) and
-an upper bound (its seen terms, and the lists' frontiers).  Reading stops once no more than `resolve` of the block
-can still qualify: those candidates' upper bounds reach the k-th best lower bound, or the k-th best score of earlier
-blocks; their scores are then resolved exactly.  Bounds are integers in double precision, exact below 2**53.
+an upper bound (its seen terms, and the lists' frontiers).  A candidate goes once its upper bound is below the k-th
+best lower bound of the block, or below the k-th best score of earlier blocks.  Reading stops once at most `resolve` of
+a block's candidates are left or a step has removed few; the scores of those left are then resolved exactly.  What a
+list has shown down to a depth depends on the query only through the sign of its component, so the bounds of a block
+of queries are two matrix products.  All numbers are integers in double precision, exact below 2**53.
 
 Work is dealt in blocks: queries and candidates are packed into blocks, query blocks meet candidate blocks on a
 group number, and a task goes through its pairs ordered by query block, carrying the k best so far as thresholds.
@@ -61,33 +63,44 @@ class SortedLists:
         self.order = np.argsort(x, axis=0, kind="stable")  # ascending; read backwards for positive weights
         self.sorted = np.take_along_axis(x, self.order, axis=0)
 
-    def best(self, query_id: int, q: np.ndarray, k: int, floor: float, steps: int = 4, resolve: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores among which the block's k best (those that reach `floor`) surely are."""
+    def seen(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which terms the lists show down to a depth, read from the top and from the bottom."""
         n, dim = self.x.shape
-        up = q > 0
-        low, high = self.sorted[0] * q, self.sorted[-1] * q
-        ceiling, ground = np.where(up, high, low), np.where(up, low, high)  # best and worst term a list can give
-        alive = np.flatnonzero(self.ids != query_id)
-        if n and ceiling.sum() < floor:
-            return self.ids[:0], np.empty(0)
-        step = max(1, n // (2 * steps))
-        seen_sum, seen = np.zeros(n), np.zeros((n, dim), "f4")
-        for depth in range(0, n, step):
-            if len(alive) <= resolve * n or depth >= steps * step:
+        top, bottom = np.zeros((n, dim), bool), np.zeros((n, dim), bool)
+        columns = np.arange(dim)
+        top[self.order[n - depth :], columns] = True
+        bottom[self.order[:depth], columns] = True
+        return top, bottom
+
+    def best(self, query_ids: np.ndarray, q: np.ndarray, k: int, floor: np.ndarray, resolve: float = 0.05, worth: float = 0.2) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query ids and scores of the block's k best (those that reach the query's floor)."""
+        n, _ = self.x.shape
+        up, down = np.maximum(q, 0), np.minimum(q, 0)
+        signed = np.hstack([up, down])
+        low, high = self.sorted[0], self.sorted[-1]
+        alive = self.ids[None, :] != query_ids[:, None]
+        alive &= (up @ high + down @ low >= floor)[:, None]
+        left = alive.sum()
+        for depth in (n // 16, n // 8, n // 4, n // 2):
+            if not depth or left <= resolve * alive.size:
                 break
-            rows = slice(depth, min(n, depth + step))
-            own = np.where(up, self.order[::-1][rows], self.order[rows])
-            term = np.where(up, self.sorted[::-1][rows], self.sorted[rows]) * q
-            seen_sum += np.bincount(own.ravel(), term.ravel(), n)
-            seen[own, np.arange(dim)] = 1
-            frontier = term[-1]
-            upper = seen_sum + frontier.sum() - seen @ frontier
-            lower = seen_sum + ground.sum() - seen @ ground
-            bar = floor
-            if len(alive) > k:
-                bar = max(bar, np.partition(lower[alive], -k)[-k])
-            alive = alive[upper[alive] >= bar]
-        return self.ids[alive], self.x[alive] @ q
+            top, bottom = self.seen(depth)
+            front_top, front_bottom = self.sorted[n - depth], self.sorted[depth - 1]
+            upper = signed @ np.hstack([(self.x - front_top) * top, (self.x - front_bottom) * bottom]).T + (up @ front_top + down @ front_bottom)[:, None]
+            lower = signed @ np.hstack([(self.x - low) * top, (self.x - high) * bottom]).T + (up @ low + down @ high)[:, None]
+            lower[~alive] = -np.inf
+            bar = floor if n <= k else np.maximum(floor, np.partition(lower, n - k, axis=1)[:, n - k])
+            alive &= upper >= bar[:, None]
+            before, left = left, alive.sum()
+            if before - left < worth * before:
+                break
+        scores = np.where(alive, q @ self.x.T, -np.inf)
+        out = []
+        for row, own in zip(scores, floor, strict=True):
+            bar = max(own, np.partition(row, n - k)[n - k] if n > k else -np.inf)
+            at = np.flatnonzero((row >= bar) & (row > -np.inf))
+            out.append((self.ids[at], row[at]))
+        return out
 
 
 def _search(k: int):
@@ -107,12 +120,12 @@ def _search(k: int):
                     name, best = block, {}
                 if lists is None or lists[0] != c_block:
                     lists = (c_block, SortedLists(np.frombuffer(c_ids, "i8"), np.frombuffer(c_data, "f8").reshape(-1, dim)))
-                for query_id, q in zip(np.frombuffer(q_ids, "i8").tolist(), np.frombuffer(q_data, "f8").reshape(-1, dim), strict=True):
-                    own = best.get(query_id, [])
-                    ids, scores = lists[1].best(query_id, q, k, own[-1][0] if len(own) == k else -np.inf)
+                names = np.frombuffer(q_ids, "i8")
+                floor = np.array([own[-1][0] if len(own := best.get(i, ())) == k else -np.inf for i in names.tolist()])
+                for query_id, (ids, scores) in zip(names.tolist(), lists[1].best(names, np.frombuffer(q_data, "f8").reshape(-1, dim), k, floor), strict=True):
                     if len(ids):
                         top = np.lexsort((ids, -scores))[:k]
-                        best[query_id] = sorted([*own, *zip(scores[top].tolist(), ids[top].tolist(), strict=True)], key=lambda x: (-x[0], x[1]))[:k]
+                        best[query_id] = sorted([*best.get(query_id, ()), *zip(scores[top].tolist(), ids[top].tolist(), strict=True)], key=lambda x: (-x[0], x[1]))[:k]
         if best:
             yield flush()
 
