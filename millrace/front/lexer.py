@@ -3,23 +3,24 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 from functools import lru_cache
 
 from .dialects import Dialect, dialect
 
 
-@dataclass(frozen=True)
 class Token:
-    kind: str  # word, quoted, string, number, op, param, comment, end, error
-    text: str
-    start: int
-    end: int
-    value: str = ""  # of strings and quoted identifiers, decoded
-
-    @property
-    def word(self) -> str:
-        return self.text.upper() if self.kind == "word" else ""
+    """kind: word, quoted, string, number, op, param, comment, end or error; value: of strings and quoted identifiers,
+    decoded; word: upper case, of words only; sym: what grammar rules compare, the word or operator."""
+
+    __slots__ = ("kind", "text", "start", "end", "value", "word", "sym")
+
+    def __init__(self, kind: str, text: str, start: int, end: int, value: str = "") -> None:
+        self.kind, self.text, self.start, self.end, self.value = kind, text, start, end, value
+        self.word = text.upper() if kind == "word" else ""
+        self.sym = self.word or (text if kind == "op" else "")
+
+    def __repr__(self) -> str:
+        return f"Token({self.kind}, {self.text!r}, {self.start}, {self.end})"
 
 
 class SQLSyntaxError(ValueError):
