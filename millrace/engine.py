@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .front import nodes as n
 from .front.parser import parse
+from .functions.udfs import register as register_functions
 from .plans.lower import Lower
 from .sources.tables import register_directory
 from .sources.writes import copy_files, execute_write
@@ -22,6 +23,8 @@ class Engine:
 
     @cached_property
     def functions(self) -> set[str]:
+        """Names of Spark's functions and of ours, which are registered on first use."""
+        register_functions(self.spark)
         return {r[0].rsplit(".", 1)[-1].lower() for r in self.spark.sql("SHOW FUNCTIONS").collect()}
 
     def columns(self, parts: list[str]) -> list[tuple[str, str]] | None:
