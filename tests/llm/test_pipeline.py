@@ -21,10 +21,8 @@ def corpus(spark, tmp_path_factory):
         if i % 7 == 1 and rows:
             lines = rows[-1][1].split("\n")
         rows.append((i, "\n".join(lines), "en", f"src{i % 3}", len("\n".join(lines))))
-        if i % 2:
-            labels.append((i, 1, 0))
-        elif i % 6 == 0:
-            labels.append((i, 0, 0))
+        if i % 4 < 2:
+            labels.append((i, int("$$$" not in rows[-1][1]), 0))
     d = tmp_path_factory.mktemp("corpus")
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
@@ -37,7 +35,8 @@ def test_stages_against_brute_force(spark, corpus):
     kept = pipe.stored(pipe.quality(spark, docs, corpus), "t")
     ids = {r.doc_id for r in quality.selected_ids(docs, pipe.good_labels(spark, corpus)).collect()}
     assert {r.doc_id for r in kept.collect()} == ids and kept.columns == columns
-    assert len([i for i in ids if i % 6 and i < 240]) > 190 and not any(i % 6 == 0 and i % 7 != 1 for i in ids)
+    junk = {r.doc_id for r in docs.filter("text like '%$$$%'").collect()}
+    assert len(ids & junk) <= 0.2 * len(junk) and len(ids - junk) > 0.85 * (240 - len(junk))  # the draw is random
 
     lined = pipe.stored(pipe.line_dedup(spark, kept, corpus), "t")
     before = {r.doc_id: r.text for r in kept.collect()}
