@@ -12,11 +12,15 @@ doesn't, the equal fragment isn't empty.  Equal fragments are rare among texts t
 passage's n-grams are spread over fragments that hold others too; so no n-gram is too frequent for the join.
 
 A coarse cut verifies.  Candidate pairs meet fragment by fragment, each fragment's overlap is counted separately,
-and the counts are summed for each pair and compared with the exact threshold.
+and the counts are summed for each pair and compared with the exact threshold.  Before that a sketch sifts: of the
+counts of a set's hashes in SKETCH_BITS buckets the parities are kept; two sets that differ in d n-grams differ in d
+parities at most, so a pair with more than D differing parities is no link.
 
-Links, not pairs: equal sets are one node.  The nodes of a key are first linked to the key's least node; what
-verifies becomes components.  Keys whose nodes are then still in several components have all their pairs across
-components verified, so no link between different sets is lost, while copies are never expanded into pairs.
+Links, not pairs: equal sets are one node.  The nodes of a key are first compared with the key's least node only; what
+verifies becomes components.  Nodes that keys tie together, verified or not, form neighbourhoods; in a neighbourhood
+that still has several components the sketches of all nodes of different components are compared, block by block and
+in memory, and the pairs that pass are verified.  So no link between different sets is lost, while neither copies nor
+near copies that fall short of the threshold are expanded into pairs of rows.
 
 Skew: each batch reduces a key to one node before the shuffle; keys travel in blobs dealt by key range, in sub-ranges
 that bound what a task holds.  The only thing broadcast is a bitmap of fixed size over node ids.
@@ -44,6 +48,8 @@ U = np.uint64
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 SEEDS = 8
 COARSE = 8
+SKETCH_BITS = 1024
+BLOCK = 2048
 BITMAP_BITS = 1 << 25
 
 
@@ -79,10 +85,16 @@ def shingles(text: str | None, n: int = 4) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def fingerprint(s: np.ndarray) -> tuple[int, int]:
+def fingerprint(s: np.ndarray, mixed: np.ndarray) -> tuple[int, int]:
     """Two 64-bit sums over a set."""
     with np.errstate(over="ignore"):
-        return int(mix(s, 11).sum(dtype="u8").astype("i8")), int(mix(s, 13).sum(dtype="u8").astype("i8"))
+        return int(mixed.sum(dtype="u8").astype("i8")), int((mixed * s | U(1)).sum(dtype="u8").astype("i8"))
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """The parities of the counts of hashes by their last bits."""
+    counts = np.bincount((s & U(SKETCH_BITS - 1)).astype("i8"), minlength=SKETCH_BITS)
+    return np.packbits((counts & 1).astype("u1")).tobytes()
 
 
 @lru_cache(100_000)
@@ -104,8 +116,8 @@ def cut_of(high: int, p: int, q: int) -> tuple[int, int]:
     return most, most + 1 + spare
 
 
-def keys_of(s: np.ndarray, p: int, q: int) -> np.ndarray:
-    """The keys under which a set meets its candidates."""
+def keys_of(s: np.ndarray, mixed: np.ndarray, p: int, q: int) -> np.ndarray:
+    """The keys under which a set meets its candidates; mixed: mix(s, 7)."""
     number, _, high = interval(len(s), p, q)
     out = []
     for own, top in ((number, high), (number + 1, (high + 1) * q // p)):
@@ -117,7 +129,7 @@ def keys_of(s: np.ndarray, p: int, q: int) -> np.ndarray:
             piece = ((h >> U(32)) * U(k)) >> U(32)
             starts = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
             with np.errstate(over="ignore"):
-                content = np.add.reduceat(mix(h, 7), starts)
+                content = np.add.reduceat(mix(h, 7) if seed else mixed, starts)
                 tag = U((own * SEEDS + seed) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
                 out.append(mix(content + piece[starts] * U(MULTIPLIERS[1]) + tag))
             if len(starts) > most:
@@ -138,21 +150,10 @@ def unplanes(b: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, "u1").reshape(8, -1).T).view(kind).ravel()
 
 
-SETS = "doc_id long, n_shingles long, f1 long, f2 long"
-DEALT = "bucket int, member boolean, keys binary, nodes binary, hubs binary"
-
-
-def _sets(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(t, n) for t in batch.column(1).to_pylist()]
-            prints = [fingerprint(s) for s in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([f[0] for f in prints], pa.int64()), pa.array([f[1] for f in prints], pa.int64())],
-                names=["doc_id", "n_shingles", "f1", "f2"],
-            )
-
-    return run
+DEALT = "bucket int, kind int, keys binary, nodes binary, hubs binary"
+#: Kinds of dealt blobs and of rows: keys that still have to meet, members already under a key's node, documents.
+OPEN, MEMBER, DOCUMENT = 0, 1, 2
+MET = "kind int, key long, hub long, node long, n long"
 
 
 def _least_first(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,57 +167,75 @@ def _least_first(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.nd
 def _deal(n: int, p: int, q: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-
-        def row(bucket: int, keys: np.ndarray, nodes: np.ndarray, hubs: np.ndarray | None) -> tuple:
-            return bucket, hubs is not None, planes(keys), planes(nodes), b"" if hubs is None else planes(hubs)
-
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         for batch in batches:
             keys, nodes = [np.zeros(0, "u8")], [np.zeros(0, "i8")]
+            docs: list[tuple[int, int, int, int]] = []
+            missing: list[int] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingles(text, n)
-                if not len(s) or doc is None or (f := fingerprint(s)) in seen:
+                mixed = mix(s, 7)
+                f = fingerprint(s, mixed) if len(s) else (0, 0)
+                if doc is None:
+                    missing.append(len(s))
+                    continue
+                docs.append((doc, len(s), *f))
+                if not len(s) or f in seen:
                     continue
                 if len(seen) > 2_000_000:  # only a saving: equal sets are one node anyway
                     seen.clear()
                 seen.add(f)
-                keys.append(keys_of(s, p, q))
+                keys.append(keys_of(s, mixed, p, q))
                 nodes.append(np.full(len(keys[-1]), doc, "i8"))
+            rows = []
+            if docs:
+                table = np.array(docs, "i8")
+                rows.append((abs(docs[0][0]) % buckets, DOCUMENT, planes(table[:, 0]), planes(table[:, 1]), planes(table[:, 2:])))
+            if missing:
+                rows.append((0, DOCUMENT + 1, planes(np.array(missing, "i8")), b"", b""))
             k, v, hubs = _least_first(np.concatenate(keys), np.concatenate(nodes))
             lead = v == hubs
             at = ((k[lead] >> U(40)).astype("i8") * buckets) >> 24
             cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, "i8")
-            rows = [row(int(at[a]), k[lead][a:b], v[lead][a:b], None) for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True)]
+            rows += [(int(at[a]), OPEN, planes(k[lead][a:b]), planes(v[lead][a:b]), b"") for a, b in zip(cuts, [*cuts[1:], len(at)], strict=False)]
             if not lead.all():
-                rows.append(row(int(k[~lead][0] % U(buckets)), k[~lead], v[~lead], hubs[~lead]))
-            kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+                rows.append((int(k[~lead][0] % U(buckets)), MEMBER, planes(k[~lead]), planes(v[~lead]), planes(hubs[~lead])))
             for lo in range(0, len(rows), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[lo : lo + 4096]], t) for i, t in enumerate(kinds)], names=["bucket", "member", "keys", "nodes", "hubs"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[lo : lo + 4096]], t) for i, t in enumerate(kinds)], names=["bucket", "kind", "keys", "nodes", "hubs"])
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blobs by bucket to rows (key, hub, node) of keys with several nodes."""
-    names = ["key", "hub", "node"]
+    """Blobs by bucket to rows: (key, hub, node) of keys with several nodes, and (f1, f2, doc, n) of documents."""
+    names = ["kind", "key", "hub", "node", "n"]
 
-    def rows(k: np.ndarray, h: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(kind: int, k: np.ndarray, h: np.ndarray, v: np.ndarray, size: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(k), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in (k.view("i8"), h, v)], names=names)
+            part = [pa.array(x[lo : lo + 100_000]) for x in (k.view("i8"), h, v)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, "i4")), *part, pa.array(size[lo : lo + 100_000]) if size is not None else pa.nulls(len(part[0]), pa.int64())], names=names)
 
     def settle(held: list) -> Iterator[pa.RecordBatch]:
         if held:
             k, v, h = _least_first(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-            yield from rows(k[v != h], h[v != h], v[v != h])
+            yield from rows(MEMBER, k[v != h], h[v != h], v[v != h])
             held.clear()
 
     now, held = None, []
     for batch in batches:
-        for bucket, member, keys, nodes, hubs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for bucket, kind, keys, nodes, hubs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if bucket != now:
                 yield from settle(held)
                 now = bucket
-            if member:
-                yield from rows(unplanes(keys, "u8"), unplanes(hubs, "i8"), unplanes(nodes, "i8"))
+            if kind == MEMBER:
+                yield from rows(MEMBER, unplanes(keys, "u8"), unplanes(hubs, "i8"), unplanes(nodes, "i8"))
+            elif kind == DOCUMENT:
+                f = unplanes(hubs, "i8").reshape(-1, 2)
+                yield from rows(DOCUMENT, np.ascontiguousarray(f[:, 0]), np.ascontiguousarray(f[:, 1]), unplanes(keys, "i8"), unplanes(nodes, "i8"))
+            elif kind == DOCUMENT + 1:  # documents without an id
+                size = unplanes(keys, "i8")
+                gone = pa.nulls(len(size), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(size), DOCUMENT, "i4")), gone, gone, gone, pa.array(size)], names=names)
             else:
                 held.append((unplanes(keys, "u8"), unplanes(nodes, "i8")))
     yield from settle(held)
@@ -249,6 +268,7 @@ def _fragments(n: int, bitmap: np.ndarray):
                     s = shingles(text, n)
                     cuts = np.searchsorted(s, np.arange(1, COARSE, dtype="u8") << U(61))
                     out += [(doc, i, len(s), x.tobytes()) for i, x in enumerate(np.split(s, cuts)) if len(x)]
+                    out.append((doc, -1, len(s), sketch(s)))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["node", "frag", "n", "grams"])
 
@@ -268,6 +288,95 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*cols, pa.array(counts, pa.int64())], names=["a", "b", "na", "nb", "partial"])
 
 
+def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Numbers of differing bits between the rows of two arrays of 64-bit words, all pairs."""
+    out = np.zeros((len(x), len(y)), "i4")
+    for w in range(x.shape[1]):
+        out += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
+    return out
+
+
+def _sift(p: int, q: int):
+    """Pairs of sketches whose parities allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u8").reshape(batch.num_rows, -1) for c in ("x", "y"))
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            most = (na + nb) * (q - p) // (q + p)
+            fits = (np.bitwise_count(x ^ y).sum(axis=1, dtype="i8") <= most) & (na * q >= nb * p) & (nb * q >= na * p)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(fits))
+
+    return run
+
+
+def sifted(pairs: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFrame:
+    left = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("grams").alias("x"))
+    right = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("y"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "x", "y").mapInArrow(_sift(p, q), "a long, b long")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes ordered by neighbourhood and size to blocks of at most BLOCK nodes."""
+    held: list[tuple] = []
+
+    def block() -> pa.RecordBatch:
+        table = np.array([(h[1], h[2], h[3]) for h in held], "i8")
+        cols = [[held[0][0]], [held[0][3]], [held[-1][3]], [table.tobytes()], [b"".join(h[4] for h in held)]]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["area", "low", "high", "nodes", "sketches"])
+
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("area", "node", "c", "n", "grams")), strict=True):
+            if held and (held[0][0] != row[0] or len(held) == BLOCK):
+                yield block()
+                held.clear()
+            held.append(row)
+    if held:
+        yield block()
+
+
+def _across(p: int, q: int):
+    """Pairs of blocks to the pairs of nodes of different components that sizes and sketches allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for same, nodes_x, sketch_x, nodes_y, sketch_y in zip(*(batch.column(c).to_pylist() for c in ("same", "nodes_x", "sketches_x", "nodes_y", "sketches_y")), strict=True):
+                x, y = np.frombuffer(nodes_x, "i8").reshape(-1, 3), np.frombuffer(nodes_y, "i8").reshape(-1, 3)
+                sx, sy = np.frombuffer(sketch_x, "u8").reshape(len(x), -1), np.frombuffer(sketch_y, "u8").reshape(len(y), -1)
+                for lo in range(0, len(x), 256):  # bounded memory
+                    part = x[lo : lo + 256]
+                    a_n, b_n = part[:, None, 2], y[None, :, 2]
+                    fits = (part[:, None, 1] != y[None, :, 1]) & (a_n * q >= b_n * p) & (b_n * q >= a_n * p)
+                    if same:
+                        fits &= np.arange(lo, lo + len(part))[:, None] < np.arange(len(y))[None, :]
+                    if not fits.any():
+                        continue
+                    fits &= _differ(sx[lo : lo + 256], sy) <= (a_n + b_n) * (q - p) // (q + p)
+                    i, j = np.nonzero(fits)
+                    if len(i):
+                        a, b = part[i, 0], y[j, 0]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
+
+
+def pairs_across(nodes: DataFrame, p: int, q: int) -> DataFrame:
+    """nodes: area, node, c (component), n, grams (sketch).  Pairs (a, b) in one area, across components, that may link.
+
+    Blocks meet blocks, so a large area is spread over tasks, and only blocks whose sizes can match meet.
+    """
+    parts = nodes.select("area", "node", "c", "n", "grams").repartitionByRange("area", "n").sortWithinPartitions("area", "n", "node")
+    made = parts.mapInArrow(_blocks, "area long, low long, high long, nodes binary, sketches binary")
+    blocks = stored(made.withColumn("block", F.xxhash64("nodes")), "ngram-blocks")
+    x = blocks.select("area", *(F.col(c).alias(f"{c}_x") for c in ("block", "low", "high", "nodes", "sketches")))
+    y = blocks.select("area", *(F.col(c).alias(f"{c}_y") for c in ("block", "low", "high", "nodes", "sketches")))
+    met = x.join(y, "area").filter((F.col("block_x") <= F.col("block_y")) & (F.col("low_x") * p <= F.col("high_y") * q) & (F.col("low_y") * p <= F.col("high_x") * q))
+    return met.select((F.col("block_x") == F.col("block_y")).alias("same"), "nodes_x", "sketches_x", "nodes_y", "sketches_y").mapInArrow(_across(p, q), "a long, b long")
+
+
 def verify(pairs: DataFrame, fragments: DataFrame, p: int, q: int) -> DataFrame:
     """The pairs (a, b) whose sets reach Jaccard p/q, by partial overlaps of the coarse fragments."""
     left = fragments.select(F.col("node").alias("a"), "frag", F.col("n").alias("na"), F.col("grams").alias("x"))
@@ -286,44 +395,35 @@ def jaccard_components(
     spark: SparkSession = docs.sparkSession
     p, q = threshold
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = stored(source.mapInArrow(_sets(n), SETS), "ngram-sets")
+    buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = source.mapInArrow(_deal(n, p, q, buckets), DEALT).repartition("bucket").sortWithinPartitions("bucket")
+    both = stored(dealt.mapInArrow(_meet, MET), "ngram-met")
+    sets = both.filter(F.col("kind") == DOCUMENT).select(F.col("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("key").alias("f1"), F.col("hub").alias("f2"))
     reps = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     named = sets.join(reps, ["n_shingles", "f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     rep_of = named.filter("n_shingles > 0 AND rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("rep"))
 
-    buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = source.mapInArrow(_deal(n, p, q, buckets), DEALT).repartition("bucket").sortWithinPartitions("bucket")
-    keyed = dealt.mapInArrow(_meet, "key long, hub long, node long")
-    as_rep = keyed.join(rep_of.withColumnRenamed("doc_id", "node").withColumnRenamed("rep", "rn"), "node")
-    as_rep = as_rep.join(rep_of.withColumnRenamed("doc_id", "hub").withColumnRenamed("rep", "rh"), "hub")
-    met = stored(as_rep.filter("rn <> rh").select("key", F.col("rh").alias("hub"), F.col("rn").alias("node")), "ngram-keys")
-
-    stars = met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    touched = met.select(F.col("hub").alias("node")).union(met.select("node")).distinct()
+    met = both.filter(F.col("kind") == MEMBER).select("hub", "node").distinct()
+    met = met.join(rep_of.select(F.col("doc_id").alias("node"), F.col("rep").alias("rn")), "node").join(rep_of.select(F.col("doc_id").alias("hub"), F.col("rep").alias("rh")), "hub")
+    stars = stored(met.filter("rn <> rh").select(F.least("rn", "rh").alias("a"), F.greatest("rn", "rh").alias("b")).distinct(), "ngram-stars")
+    touched = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
     bitmap = id_bitmap(touched, "node")
     hashed = source.select("doc_id", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)) + 1).alias("h")).filter("doc_id IS NOT NULL")
     pieces = hashed.mapInArrow(_fragments(n, bitmap), "node long, frag int, n long, grams binary")
     pieces = stored(pieces.join(touched, "node", "left_semi"), "ngram-fragments")
-    links = stored(verify(stars, pieces, p, q), "ngram-links")
+    sketches, fragments = pieces.filter("frag = -1").dropDuplicates(["node"]), pieces.filter("frag >= 0")
+    links = stored(verify(sifted(stars, sketches, p, q), fragments, p, q), "ngram-links")
     parts = connected_components(links)
 
-    # keys whose nodes are still apart: every pair across components
-    comp = parts.withColumnRenamed("component", "c")
-    placed = met.join(comp.withColumnRenamed("c", "cn"), "node", "left").join(comp.select(F.col("node").alias("hub"), F.col("c").alias("ch")), "hub", "left")
-    placed = placed.select("key", "hub", "node", F.coalesce("cn", "node").alias("cn"), F.coalesce("ch", "hub").alias("ch"))
-    apart = placed.filter("cn <> ch").select("key").distinct()
-    open_keys = placed.join(apart, "key", "left_semi")
-    members = open_keys.select("key", "node", F.col("cn").alias("c")).union(open_keys.select("key", "hub", "ch")).distinct()
-    size = pieces.groupBy("node").agg(F.max("n").alias("n"))
-    members = stored(members.join(size, "node"), "ngram-open")
-    other = members.select("key", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-    across = members.select("key", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na")).join(other, "key")
-    across = across.filter((F.col("ca") < F.col("cb")) & (F.col("na") * q >= F.col("nb") * p) & (F.col("nb") * q >= F.col("na") * p))
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = stored(verify(across, pieces, p, q), "ngram-links")
+    # neighbourhoods that are still in several components: all pairs across components, by sketches, then exactly
+    areas = connected_components(stars).withColumnRenamed("component", "area")
+    placed = areas.join(parts, "node", "left").select("area", "node", F.coalesce("component", "node").alias("c"))
+    apart = placed.groupBy("area").agg((F.min("c") < F.max("c")).alias("apart")).filter("apart").select("area")
+    open_nodes = placed.join(apart, "area", "left_semi").join(sketches.select("node", "n", "grams"), "node")
+    across = pairs_across(open_nodes, p, q).join(stars, ["a", "b"], "left_anti")
+    more = stored(verify(across, fragments, p, q), "ngram-links")
     if more.limit(1).count():
         parts = connected_components(links.union(more))
-    # rows that share an id are one document
     own = named.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
     own = own.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return own.withColumnRenamed("doc_id", id_col)
