@@ -47,7 +47,7 @@ U = np.uint64
 #: Odd multipliers of the hashes.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 SEEDS = 8
-COARSE = 8
+COARSE = 4
 SKETCH_BITS = 1024
 BLOCK = 2048
 BITMAP_BITS = 1 << 25
@@ -257,7 +257,7 @@ def in_bitmap(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[at // 8] >> (at % 8).astype("u1")) & 1 > 0
 
 
-def _fragments(n: int, bitmap: np.ndarray):
+def _fragments(n: int, bitmap: np.ndarray, sketches: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = in_bitmap(bitmap, batch.column(2).to_numpy())
@@ -266,9 +266,11 @@ def _fragments(n: int, bitmap: np.ndarray):
                 out = []
                 for doc, text in zip(part.column(0).slice(lo, 256).to_pylist(), part.column(1).slice(lo, 256).to_pylist(), strict=True):
                     s = shingles(text, n)
-                    cuts = np.searchsorted(s, np.arange(1, COARSE, dtype="u8") << U(61))
+                    if sketches:
+                        out.append((doc, -1, len(s), sketch(s)))
+                        continue
+                    cuts = np.searchsorted(s, np.arange(1, COARSE, dtype="u8") << U(64 - COARSE.bit_length() + 1))
                     out += [(doc, i, len(s), x.tobytes()) for i, x in enumerate(np.split(s, cuts)) if len(x)]
-                    out.append((doc, -1, len(s), sketch(s)))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["node", "frag", "n", "grams"])
 
@@ -406,13 +408,17 @@ def jaccard_components(
     met = both.filter(F.col("kind") == MEMBER).select("hub", "node").distinct()
     met = met.join(rep_of.select(F.col("doc_id").alias("node"), F.col("rep").alias("rn")), "node").join(rep_of.select(F.col("doc_id").alias("hub"), F.col("rep").alias("rh")), "hub")
     stars = stored(met.filter("rn <> rh").select(F.least("rn", "rh").alias("a"), F.greatest("rn", "rh").alias("b")).distinct(), "ngram-stars")
-    touched = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
-    bitmap = id_bitmap(touched, "node")
     hashed = source.select("doc_id", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)) + 1).alias("h")).filter("doc_id IS NOT NULL")
-    pieces = hashed.mapInArrow(_fragments(n, bitmap), "node long, frag int, n long, grams binary")
-    pieces = stored(pieces.join(touched, "node", "left_semi"), "ngram-fragments")
-    sketches, fragments = pieces.filter("frag = -1").dropDuplicates(["node"]), pieces.filter("frag >= 0")
-    links = stored(verify(sifted(stars, sketches, p, q), fragments, p, q), "ngram-links")
+
+    def pieces(pairs: DataFrame, sketches: bool) -> DataFrame:
+        """Sketches or fragments of the pairs' nodes, made where the texts are read; a bitmap picks them."""
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        made = hashed.mapInArrow(_fragments(n, id_bitmap(nodes, "node"), sketches), "node long, frag int, n long, grams binary")
+        return made.dropDuplicates(["node", "frag"])  # rows may repeat an id
+
+    sketches = stored(pieces(stars, True), "ngram-sketches")
+    near = stored(sifted(stars, sketches, p, q), "ngram-near")
+    links = stored(verify(near, pieces(near, False), p, q), "ngram-links")
     parts = connected_components(links)
 
     # neighbourhoods that are still in several components: all pairs across components, by sketches, then exactly
@@ -420,8 +426,8 @@ def jaccard_components(
     placed = areas.join(parts, "node", "left").select("area", "node", F.coalesce("component", "node").alias("c"))
     apart = placed.groupBy("area").agg((F.min("c") < F.max("c")).alias("apart")).filter("apart").select("area")
     open_nodes = placed.join(apart, "area", "left_semi").join(sketches.select("node", "n", "grams"), "node")
-    across = pairs_across(open_nodes, p, q).join(stars, ["a", "b"], "left_anti")
-    more = stored(verify(across, fragments, p, q), "ngram-links")
+    across = stored(pairs_across(open_nodes, p, q).join(stars, ["a", "b"], "left_anti"), "ngram-near")
+    more = stored(verify(across, pieces(across, False), p, q), "ngram-links")
     if more.limit(1).count():
         parts = connected_components(links.union(more))
     own = named.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
