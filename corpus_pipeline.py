@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document of least id."""
-    copies = jaccard_components(docs).filter("component_id <> doc_id").select("doc_id").distinct()
+    """Keeps of each group of near copies (Jaccard similarity of 0.8 or more over 5-word shingles) the document of least id."""
+    copies = jaccard_components(docs, n=5, threshold=(80, 100)).filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 

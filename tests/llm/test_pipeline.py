@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as pipe
 from millrace.llm import packing, quality
 from test_line_dedup import brute as lines_brute
-from test_ngram_join import brute as jaccard_brute
+from test_ngram_join import brute as jaccard_brute, near_copies
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +57,14 @@ def test_stages_against_brute_force(spark, corpus):
     assert pieces.agg(F.sum("length")).first()[0] == total
 
 
+def test_near_copies_by_five_words_and_four_fifths(spark):
+    rows = near_copies(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in pipe.ngram_join(spark, docs, "").collect()}
+    want = {d for d, (_, c) in jaccard_brute(rows, 80, 100, 5).items() if c == d}
+    assert kept == want != {d for d, (_, c) in jaccard_brute(rows).items() if c == d}
+
+
 def test_run(spark, corpus):
     out = pipe.run(spark, corpus)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
