@@ -71,7 +71,7 @@ class WordCachedTokenizer:
     The pre-tokenizer never lets a piece run across a space that follows a non-space, so a text without doubled
     white space can be cut before every space and each chunk encoded once.  Chunks are merged by `tiktoken` from the
     file's own vocabulary, whose ids are in merge order, at a fifth of the cost; texts that can't be cut go through
-    `tokenizers` whole.  Tests hold the two equal.  The cache keeps two generations.
+    `tokenizers` whole, as do texts that hold an added token such as ``<|endoftext|>``.  Tests hold the two equal.  The cache keeps two generations.
     """
 
     def __init__(self, path: str) -> None:
@@ -79,7 +79,7 @@ class WordCachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         byte = byte_of_char()
         ranks = {bytes(map(byte.__getitem__, piece)): i for piece, i in self.tok.get_vocab(with_added_tokens=False).items() if set(piece) <= byte.keys() and not piece.startswith("<|")}
         self.merge = tiktoken.Encoding("own", pat_str=PIECE, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -92,7 +92,7 @@ class WordCachedTokenizer:
             self.chunks = ChunkIds(self.merge, self.chunks)
         ids, out = self.chunks.__getitem__, []
         for text in texts:
-            if doubled_space(text):
+            if doubled_space(text) or any(t in text for t in self.added):
                 out.append(array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes())
             else:
                 head, *rest = text.split(" ")

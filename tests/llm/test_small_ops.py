@@ -81,6 +81,14 @@ def test_tokenizer_equals_library():
     assert t.encode(texts) == t.encode(texts)
 
 
+def test_added_tokens_have_the_ids_of_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    fresh, texts = Tokenizer.from_file(VOCAB), ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "a  b <|endoftext|>", "<|endoftext|", *(x or "" for x in TEXTS)]
+    assert fresh.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    assert packing.WordCachedTokenizer(VOCAB).encode(texts) == [np.asarray(fresh.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
 def test_packing(spark):
     df = docs(spark, extra=True)
     rows = packing.pack(df, VOCAB, seq_len=64, open_bins=4, keep_ids=True).collect()
