@@ -94,13 +94,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and one with control strings in its texts, read back from the formatted turns."""
-    from .chat import conversation_digests, format_turns
+    """All conversations and one with control strings in its texts, each text as one text part, read back from the formatted turns."""
+    from .chat import PART, conversation_digests, format_turns
 
     tricky = "\\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return conversation_digests(format_turns(turns))
+    part = F.struct(F.lit("text").alias("type"), "text", *(F.lit(None).alias(c) for c in ("ref", "width", "height", "seconds", "pages")))
+    return conversation_digests(format_turns(turns.select("conv_id", "turn", "role", F.array(part).cast(f"array<{PART}>").alias("parts"))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op3_flow_resharding, op4_media_columns, op5_ngram_jaccard, op6_importance_resampling, op7_exact_topk, op8_sentencepiece, op9_line_dedup, op10_chat_format)}

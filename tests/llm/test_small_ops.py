@@ -291,6 +291,17 @@ def test_chat(spark):
     assert chat.conversation_digests(chat.format_turns(df.limit(0))).count() == 0
 
 
+def test_query_sends_texts_through_the_visitor(spark, tmp_path, monkeypatch):
+    from millrace.llm import queries
+
+    seen, plain = [], chat.format_turns
+    monkeypatch.setattr(chat, "format_turns", lambda turns: seen.append(turns) or plain(turns))
+    spark.createDataFrame([(1, 0, "user", None), (1, 1, "assistant", "a <b")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in queries.op10_chat_format(spark, str(tmp_path)).collect()}
+    assert {r.conv_id: [[(p.type, p.text) for p in r.parts]] for r in seen[0].filter("turn = 1").collect()}[1] == [[("text", "a <b")]]
+    assert got[1].turns_sha256 == hashlib.sha256(b"user\n\nassistant\na <b\n").hexdigest() and got[1].loss_chars == 4 and got[-7].n_turns == 2
+
+
 def test_typed_parts(spark):
     df = spark.sql(f"select 1L conv_id, 0L turn, 'user' role, from_json('[{{\"type\":\"text\",\"text\":\"see <\"}},{{\"type\":\"image\",\"ref\":\"a.png\",\"width\":28,\"height\":15}},{{\"type\":\"audio\",\"ref\":\"b.wav\",\"seconds\":1.5}},{{\"type\":\"document\",\"ref\":\"c.pdf\",\"pages\":2}}]', 'array<{chat.PART}>') parts")
     r = chat.format_turns(df).first()
