@@ -27,7 +27,7 @@ def docs(spark, texts=TEXTS, extra=False):
 def test_hosts_and_rules(spark):
     urls = [
         ("https://a.EXAMPLE.com/en/7?x", "a.example.com", "/en/7", "example.com/en/7", "allow"), ("http://example.com/en/8#t", "example.com", "/en/8", "com/en/", "block"),
-        ("http://notexample.com/en/70", "notexample.com", "/en/70", "com/en/", "block"), ("ftp://x.net/de/", "x.net", "/de/", "net/de/", "block"), ("http://example.net/de/8", "example.net", "/de/8", "example.net/de/8", "allow"),
+        ("http://notexample.com/en/70", "notexample.com", "/en/70", "com/en/", "block"), ("ftp://x.net/de/", "x.net", "/de/", "net/de/", "allow"), ("http://example.net/de/8", "example.net", "/de/8", "example.net/de/8", "block"),
         ("http://example.org/en/", "example.org", "/en/", None, "allow"), ("no scheme.com/en/", "", "", None, "allow"), (None, "", "", None, "allow"), ("x://", "", "", None, "allow"), ("http://com/en/?q=http://b.net/de/", "com", "/en/", "com/en/", "block"),
         ("http://ÄA.com", "ÄA.com".replace("A.", "a."), "", None, "allow"),
     ]
