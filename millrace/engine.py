@@ -19,6 +19,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, dialect: str = "generic") -> None:
         self.spark, self.dialect = spark, dialect
+        spark.conf.set("spark.sql.timeType.enabled", "true")  # off by default in Spark 4.1
         self._columns: dict[str, list[tuple[str, str]]] = {}
 
     @cached_property

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..engine import Engine
+from . import function_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -146,13 +147,13 @@ OTHERS = {
     "tsql_dates": ("tsql", "SELECT o_orderkey AS k, DATEADD(day, 3, o_orderdate) AS a, DATEDIFF(month, o_orderdate, CAST('2024-01-15' AS DATE)) AS m, DATEPART(year, o_orderdate) AS y FROM orders", "SELECT o_orderkey AS k, o_orderdate + INTERVAL 3 DAY AS a, date_diff('month', o_orderdate, DATE '2024-01-15') AS m, year(o_orderdate) AS y FROM orders"),
     "oracle_fetch_ties": ("oracle", "SELECT n_nationkey AS n, n_regionkey AS r FROM nation ORDER BY n_regionkey FETCH FIRST 3 ROWS WITH TIES", "SELECT n, r FROM (SELECT n_nationkey AS n, n_regionkey AS r, rank() OVER (ORDER BY n_regionkey) AS k FROM nation) WHERE k <= 3"),
     "oracle_functions": ("oracle", "SELECT n_name, NVL(NULL, n_name) AS a, DECODE(n_regionkey, 1, 'one', 2, 'two', 'other') AS b, n_name || NULL AS c, INSTR(n_name, '1') AS d FROM nation", "SELECT n_name, n_name AS a, CASE n_regionkey WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE 'other' END AS b, n_name AS c, strpos(n_name, '1')::INTEGER AS d FROM nation"),
-    "oracle_connect_by": ("oracle", "SELECT k, LEVEL AS l, SYS_CONNECT_BY_PATH(k, '/') AS p, CONNECT_BY_ROOT k AS r FROM tree START WITH parent IS NULL CONNECT BY PRIOR k = parent", None),
+    "oracle_connect_by": ("oracle", "SELECT k, LEVEL AS l, SYS_CONNECT_BY_PATH(k, '/') AS p, CONNECT_BY_ROOT k AS r FROM tree START WITH parent IS NULL CONNECT BY PRIOR k = parent", "WITH RECURSIVE tree(k, parent) AS (VALUES (1, NULL), (2, 1), (3, 1), (4, 2)), t(k, l, p, r) AS (SELECT k, 1, '/' || k, k FROM tree WHERE parent IS NULL UNION ALL SELECT c.k, t.l + 1, t.p || '/' || c.k, t.r FROM tree c JOIN t ON c.parent = t.k) SELECT k, l, p, r FROM t"),
     "oracle_keep": ("oracle", "SELECT o_custkey AS c, MAX(o_orderkey) KEEP (DENSE_RANK LAST ORDER BY o_totalprice) AS k FROM orders GROUP BY o_custkey", "SELECT o_custkey AS c, arg_max(o_orderkey, o_totalprice) AS k FROM orders GROUP BY 1"),
     "oracle_to_char": ("oracle", "SELECT o_orderkey AS k, TO_CHAR(o_orderdate, 'YYYY-MM-DD') AS d FROM orders", "SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders"),
     "postgres_distinct_on": ("postgres", "SELECT DISTINCT ON (o_custkey) o_custkey AS k, o_orderkey AS o FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey", "SELECT DISTINCT ON (o_custkey) o_custkey AS k, o_orderkey AS o FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey"),
     "postgres_symmetric": ("postgres", "SELECT n_nationkey AS n FROM nation WHERE n_nationkey BETWEEN SYMMETRIC 9 AND 3", "SELECT n_nationkey AS n FROM nation WHERE n_nationkey BETWEEN 3 AND 9"),
     "postgres_regex": ("postgres", "SELECT n_name FROM nation WHERE n_name ~* 'nation.*1' AND n_name !~ '3'", "SELECT n_name FROM nation WHERE regexp_matches(n_name, 'nation.*1', 'i') AND NOT regexp_matches(n_name, '3')"),
-    "postgres_ordinality": ("postgres", "SELECT vec_id, u.i FROM embeddings, UNNEST(embedding) WITH ORDINALITY AS u(x, i) WHERE vec_id < 3", "SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE vec_id < 3"),
+    "postgres_ordinality": ("postgres", "SELECT vec_id, u.x, u.i FROM embeddings, UNNEST(embedding) WITH ORDINALITY AS u(x, i)", "SELECT vec_id, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings"),
     "postgres_division": ("postgres", "SELECT n_nationkey / 4 AS q, n_nationkey % 4 AS m, n_nationkey ^ 2 AS p FROM nation", "SELECT n_nationkey // 4 AS q, n_nationkey % 4 AS m, n_nationkey ^ 2 AS p FROM nation"),
     "postgres_similar": ("postgres", "SELECT n_name FROM nation WHERE n_name SIMILAR TO '%(1|2)_'", "SELECT n_name FROM nation WHERE regexp_full_match(n_name, '.*(1|2).')"),
     "postgres_overlaps": ("postgres", "SELECT (DATE '2020-01-01', DATE '2020-02-01') OVERLAPS (DATE '2020-01-15', DATE '2020-03-01') AS o", "SELECT DATE '2020-01-01' < DATE '2020-03-01' AND DATE '2020-01-15' < DATE '2020-02-01' AS o"),
@@ -162,27 +163,27 @@ OTHERS = {
     "mysql_rollup": ("mysql", "SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY o_orderstatus WITH ROLLUP", "SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus)"),
     "mysql_dates": ("mysql", "SELECT o_orderkey AS k, DATE_FORMAT(o_orderdate, '%Y-%m') AS f, DATE_ADD(o_orderdate, INTERVAL 2 MONTH) AS a, DATEDIFF(o_orderdate, '1995-01-01') AS d FROM orders", "SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m') AS f, o_orderdate + INTERVAL 2 MONTH AS a, date_diff('day', DATE '1995-01-01', o_orderdate)::INTEGER AS d FROM orders"),
     "snowflake_mix": ("snowflake", "SELECT n_name, IFF(n_regionkey > 2, 1, 0) AS a, ZEROIFNULL(NULL) AS z, DIV0(n_nationkey, 0) AS d, NVL2(n_name, 'x', 'y') AS v FROM nation QUALIFY ROW_NUMBER() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) = 1", "SELECT n_name, CASE WHEN n_regionkey > 2 THEN 1 ELSE 0 END AS a, 0 AS z, 0.0::DOUBLE AS d, 'x' AS v FROM nation QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) = 1"),
-    "snowflake_flatten": ("snowflake", "SELECT vec_id, f.index AS i FROM embeddings, LATERAL FLATTEN(input => embedding) f WHERE vec_id < 3", "SELECT vec_id, unnest(range(0, len(embedding)))::INTEGER AS i FROM embeddings WHERE vec_id < 3"),
+    "snowflake_flatten": ("snowflake", "SELECT vec_id, f.value AS x, f.index AS i FROM embeddings, LATERAL FLATTEN(input => embedding) f", "SELECT vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding)))::INTEGER AS i FROM embeddings"),
     "snowflake_json": ("snowflake", "SELECT event_id AS k, props:k AS v FROM events", "SELECT event_id AS k, props->>'$.k' AS v FROM events"),
     "bigquery_mix": ("bigquery", "SELECT * EXCEPT (n_name), SAFE_CAST('x' AS INT64) AS c, COUNTIF(TRUE) OVER () AS n, [10, 20][OFFSET(1)] AS o FROM nation", "SELECT * EXCLUDE (n_name), NULL::BIGINT AS c, count(*) OVER () AS n, 20 AS o FROM nation"),
     "bigquery_dates": ("bigquery", "SELECT o_orderkey AS k, DATE_DIFF(DATE '2024-01-15', CAST(o_orderdate AS DATE), MONTH) AS m, FORMAT_DATE('%Y%m', o_orderdate) AS f, DATE_TRUNC(CAST(o_orderdate AS DATE), YEAR) AS y FROM orders", "SELECT o_orderkey AS k, date_diff('month', o_orderdate::DATE, DATE '2024-01-15') AS m, strftime(o_orderdate, '%Y%m') AS f, date_trunc('year', o_orderdate::DATE)::DATE AS y FROM orders"),
-    "bigquery_unnest": ("bigquery", "SELECT n_name, x FROM nation, UNNEST([1, 2]) AS x WITH OFFSET AS o WHERE o = 1", "SELECT n_name, 2 AS x FROM nation"),
+    "bigquery_unnest": ("bigquery", "SELECT n_name, x, o FROM nation, UNNEST([n_nationkey, n_regionkey]) AS x WITH OFFSET AS o", "SELECT n_name, unnest([n_nationkey, n_regionkey]) AS x, unnest([0, 1]) AS o FROM nation"),
     "clickhouse_limit_by": ("clickhouse", "SELECT n_regionkey AS r, n_nationkey AS n FROM nation ORDER BY n_regionkey, n_nationkey LIMIT 2 BY n_regionkey", "SELECT r, n FROM (SELECT n_regionkey AS r, n_nationkey AS n, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation) WHERE k <= 2"),
     "clickhouse_if": ("clickhouse", "SELECT countIf(o_totalprice > 100000) AS a, uniqExact(o_custkey) AS u FROM orders PREWHERE o_orderkey > 10", "SELECT count(*) FILTER (WHERE o_totalprice > 100000) AS a, count(DISTINCT o_custkey) AS u FROM orders WHERE o_orderkey > 10"),
     "trino_mix": ("trino", "SELECT n_name, TRY_CAST('x' AS BIGINT) AS t, strpos(n_name, '1') AS s, array_join(ARRAY[1, 2], '-') AS j, cardinality(ARRAY[1, 2]) AS c FROM nation", "SELECT n_name, NULL::BIGINT AS t, strpos(n_name, '1')::INTEGER AS s, '1-2' AS j, 2 AS c FROM nation"),
     "presto_agg": ("presto", "SELECT o_orderstatus AS s, arbitrary(o_orderstatus) AS a, max_by(o_orderkey, o_totalprice) AS m FROM orders GROUP BY 1", "SELECT o_orderstatus AS s, o_orderstatus AS a, arg_max(o_orderkey, o_totalprice) AS m FROM orders GROUP BY 1"),
-    "hive_lateral_view": ("hive", "SELECT vec_id, pos AS i FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, x WHERE vec_id < 3", "SELECT vec_id, unnest(range(0, len(embedding)))::INTEGER AS i FROM embeddings WHERE vec_id < 3"),
+    "hive_lateral_view": ("hive", "SELECT vec_id, x, pos AS i FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, x", "SELECT vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding)))::INTEGER AS i FROM embeddings"),
     "spark_pipes": ("spark", "FROM nation |> WHERE n_regionkey = 1 |> SELECT n_name", "SELECT n_name FROM nation WHERE n_regionkey = 1"),
     "sqlite_mix": ("sqlite", "SELECT n_name, ifnull(NULL, 'z') AS a, n_nationkey / 2 AS d, instr(n_name, '1') AS i FROM nation WHERE n_name GLOB '*1*'", "SELECT n_name, 'z' AS a, n_nationkey // 2 AS d, strpos(n_name, '1')::INTEGER AS i FROM nation WHERE n_name GLOB '*1*'"),
     "teradata_mix": ("teradata", "SEL n_name FROM nation WHERE n_nationkey GT 20 QUALIFY ROW_NUMBER() OVER (ORDER BY n_nationkey) LE 3", "SELECT n_name FROM nation WHERE n_nationkey > 20 QUALIFY row_number() OVER (ORDER BY n_nationkey) <= 3"),
-    "redshift_mix": ("redshift", "SELECT n_name, NVL(NULL, 1) AS a, n_nationkey / 2 AS d, LISTAGG(n_name, ',') WITHIN GROUP (ORDER BY n_name) OVER () IS NOT NULL AS b FROM nation".replace(", LISTAGG(n_name, ',') WITHIN GROUP (ORDER BY n_name) OVER () IS NOT NULL AS b", ""), "SELECT n_name, 1 AS a, n_nationkey // 2 AS d FROM nation"),
+    "redshift_mix": ("redshift", "SELECT n_name, NVL(NULL, 1) AS a, n_nationkey / 2 AS d, LISTAGG(n_name, ',') WITHIN GROUP (ORDER BY n_name) OVER (PARTITION BY n_regionkey) AS b FROM nation", "SELECT n_name, 1 AS a, n_nationkey // 2 AS d, (SELECT string_agg(o.n_name, ',' ORDER BY o.n_name) FROM nation o WHERE o.n_regionkey = nation.n_regionkey) AS b FROM nation"),
     "databricks_mix": ("databricks", "SELECT n_name, n_nationkey::string AS s, try_divide(1, 0) AS t FROM nation WHERE n_name RLIKE '1$'", "SELECT n_name, n_nationkey::VARCHAR AS s, NULL::DOUBLE AS t FROM nation WHERE regexp_matches(n_name, '1$')"),
     "right_semi": ("spark", "SELECT c_custkey FROM orders RIGHT SEMI JOIN customer ON o_custkey = c_custkey", "SELECT c_custkey FROM customer SEMI JOIN orders ON o_custkey = c_custkey"),
 }
 
 
 def texts() -> dict[str, tuple[str, str, str | None]]:
-    return {f"sql_{k}": ("duckdb", v, v) for k, v in DUCK.items()} | {f"sql_{k}": v for k, v in OTHERS.items()}
+    return {f"sql_{k}": ("duckdb", v, v) for k, v in DUCK.items()} | {f"sql_{k}": v for k, v in OTHERS.items()} | function_queries.texts()
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:

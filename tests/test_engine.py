@@ -129,6 +129,6 @@ def test_python_functions(spark):
     e = Engine(spark, "mysql")
     r = e.sql("""SELECT JSON_SET('{"a":1}', '$.b', 'x') AS s, JSON_REMOVE('{"a":1,"b":[1,2]}', '$.b[0]') AS r, JSON_ARRAY_APPEND('{"a":[1]}', '$.a', 'y') AS p""").first()
     assert (r.s, r.r, r.p) == ('{"a":1,"b":"x"}', '{"a":1,"b":[2]}', '{"a":[1,"y"]}')
-    assert round(e.sql("SELECT JAROWINKLER_SIMILARITY('MARTHA', 'MARHTA') AS j", "snowflake").first().j, 4) == 0.9611
+    assert e.sql("SELECT JAROWINKLER_SIMILARITY('MARTHA', 'MARHTA') AS j", "snowflake").first().j == 96  # an integer of 0 to 100 there
     assert spark.sql("SELECT * FROM sql_tokens('SELECT 1', 'duckdb')").count() == 2
     assert [tuple(x) for x in spark.sql("SELECT * FROM sql_lineage('SELECT a + 1 AS b FROM t', 'duckdb')").collect()] == [("b", "t", "a")]
