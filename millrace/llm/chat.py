@@ -3,11 +3,13 @@
 A turn's content is a list of typed parts.  A visitor flattens them into text with ordered placeholders
 (``<|image:0|>``), records every attachment reference, and counts the tokens each placeholder expands to.  The
 template marks turns as ``### Role: text </turn>`` lines; `escape` puts a backslash before every character of a text
-that could begin a control string, so nothing inside a text can be read as one, and `unescape` undoes it exactly.
+that could begin a control string or a placeholder, so nothing inside a text can be read as one; `unescape` undoes it
+exactly, and `parts_of` tells the text from the placeholders.
 
 Formatting is a map over turns, so a conversation with any number of turns costs no task more than a short one.
 What needs a whole conversation (its digests, read back from the formatted text) is streamed: rows are dealt by
-conversation and sorted by turn inside Spark, which spills, and the reader keeps only running hashes.
+conversation and sorted by turn inside Spark, which spills, and the reader keeps only running hashes.  A digest over a
+whole conversation is a chain, so the turns of one conversation, however many, are read by one task.
 
 Defined cases: a null text or part list is empty; a null role is the empty role; a null conversation id is a
 conversation of its own; turns with equal numbers are ordered by role and text, null turns come first; repeated
@@ -30,7 +32,9 @@ _NEEDS = re.compile(r"[\\#<]")
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _ROLE_NEEDS = re.compile(r"[\\#<:]")
 #: A formatted turn: role and text hold no bare control character, only escaped ones.
-_TURN = re.compile(r"### ((?:[^\\#<:]|\\.)*): ((?:[^\\#<]|\\.)*) </turn>\n", re.S)
+_TURN = re.compile(r"### ((?:[^\\#<:]|\\.)*): ((?:[^\\#<]|\\.|<\|\w+:\d+\|>)*) </turn>\n", re.S)
+_PIECE = re.compile(r"<\|(\w+):(\d+)\|>|((?:[^\\<]|\\.)+)", re.S)
+_NOT_KIND = re.compile(r"\W")
 
 
 def escape(text: str) -> str:
@@ -55,7 +59,7 @@ class Flattener:
         getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_unknown)(part)
 
     def visit_text(self, part: dict) -> None:
-        self.out.append(part.get("text") or "")
+        self.out.append(escape(part.get("text") or ""))
 
     def visit_image(self, part: dict) -> None:
         self.attach("image", part, math.ceil((part.get("width") or 0) / self.patch) * math.ceil((part.get("height") or 0) / self.patch))
@@ -70,22 +74,21 @@ class Flattener:
         self.attach(str(part.get("type")), part, 0)
 
     def attach(self, kind: str, part: dict, tokens: int) -> None:
-        self.out.append(f"<|{kind}:{len(self.attachments)}|>")
+        self.out.append(f"<|{_NOT_KIND.sub('_', kind)}:{len(self.attachments)}|>")
         self.attachments.append({"ordinal": len(self.attachments), "kind": kind, "ref": part.get("ref"), "tokens": tokens})
 
 
 def flatten(parts: list[dict] | None) -> tuple[str, list[dict]]:
-    """Text with placeholders, and the attachments in order."""
+    """Escaped text with bare placeholders, and the attachments in order."""
     visitor = Flattener()
     for part in parts or []:
         visitor.visit(part)
     return "".join(visitor.out), visitor.attachments
 
 
-def format_turn(role: str | None, text: str | None) -> tuple[str, int, int]:
-    """The formatted turn and the span of its text (for the loss mask)."""
+def format_turn(role: str | None, body: str) -> tuple[str, int, int]:
+    """The formatted turn of a flattened body, and the span of the body (for the loss mask)."""
     head = HEAD + _ROLE_NEEDS.sub(r"\\\g<0>", role or "") + COLON
-    body = escape(text or "")
     return head + body + END, len(head), len(head) + len(body)
 
 
@@ -100,6 +103,11 @@ def parse(formatted: str) -> Iterator[tuple[str, str, int, int]]:
         at = m.end()
 
 
+def parts_of(body: str) -> list[tuple[str, str | int]]:
+    """A formatted body read back: ("text", what the text parts said) and (kind, ordinal of the attachment), in order."""
+    return [("text", unescape(m[3])) if m[3] is not None else (m[1], int(m[2])) for m in _PIECE.finditer(body)]
+
+
 PART = "struct<type: string, text: string, ref: string, width: int, height: int, seconds: double, pages: int>"
 FORMATTED = (
     "conv_id long, turn long, role string, formatted string, loss_start int, loss_end int, "
@@ -122,7 +130,7 @@ def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             conv, turn, roles, parts = (c for c in batch.columns)
-            made = [flatten(p) if typed else (p, []) for p in parts.to_pylist()]
+            made = [flatten(p if typed else [{"text": p}]) for p in parts.to_pylist()]
             rows = [format_turn(r, text) for r, (text, _) in zip(roles.to_pylist(), made, strict=True)]
             loss = [r in loss_roles for r in roles.to_pylist()]
             yield pa.RecordBatch.from_arrays(
