@@ -221,6 +221,30 @@ def test_bounded_search_prunes_and_stays_exact():
         assert sorted(scores)[-3:] == sorted(x @ own)[-3:]
 
 
+def test_topk_prunes_and_counts_what_it_reads():
+    rnd = np.random.default_rng(1)
+    x = np.floor(256 * rnd.normal(size=(4096, 3)))
+    lists = topk.SortedLists(np.arange(4096), x)
+    q = np.floor(256 * rnd.normal(size=(50, 3)))
+    found = lists.best(np.full(50, -1), q, 5, np.full(50, -np.inf))
+    assert all(sorted(s)[-5:] == sorted(x @ own)[-5:] for (_, s), own in zip(found, q, strict=True))
+    assert lists.resolved < 0.1 * 50 * 4096 and lists.read < 0.7 * 50 * 4096 * 3
+
+
+def test_topk_defined_cases(spark):
+    shape = "vec_id long, embedding array<double>, score string, rank string, grp string"
+    run = lambda rows: [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, shape), F.col("vec_id") % 10 == 0, 5, groups=3).orderBy("query_id", "rank").collect()]
+    row = lambda i, *v: (i, list(v), "x", "y", "z")
+    assert run([]) == []
+    assert run([row(0, 1.0, 2.0)]) == []
+    assert run([row(0, 1.0, 2.0), row(1, 1.0, 0.0), row(2, 1.0, 0.0), row(3, None, 1.0), (4, None, "x", "y", "z"), row(5, 1.0)]) == [(0, 1, 1, 65536), (0, 2, 2, 65536)]
+    assert run([row(0, 1.0), row(0, 1.0), row(3, 2.0), row(3, 2.0)]) == [(0, i, 3, 131072) for i in (1, 2, 3, 4)]
+    huge = run([row(0, 1e30, 1.0), row(1, 1e30, 0.0), row(2, 1e29, 0.0), row(3, 0.0, 5.0), row(4, -1e30, 0.0)])
+    assert huge == [(0, 1, 1, (1 << 63) - 1), (0, 2, 2, (1 << 63) - 1), (0, 3, 3, 256 * 1280), (0, 4, 4, -(1 << 63))]
+    number = 256 * (3 * 10**8 + 1) * 256 * 300000  # above 2**53
+    assert run([row(0, 3e8 + 1, 1.0), row(1, 3e5, 1.0), row(2, 3e5, 2.0)]) == [(0, 1, 2, number + 2 * 65536), (0, 2, 1, number + 65536)]
+
+
 # sentencepiece
 
 
@@ -274,7 +298,7 @@ def test_escapes_and_parse():
     rnd = random.Random(0)
     for _ in range(500):
         role, text = ("".join(rnd.choice("#\\< />:turn\nA") for _ in range(rnd.randrange(0, 20))) for _ in range(2))
-        formatted, lo, hi = chat.format_turn(role, text)
+        formatted, lo, hi = chat.format_turn(role, chat.escape(text))
         assert [x[:2] for x in chat.parse(formatted * 2)] == [(role, text)] * 2
         assert chat.unescape(formatted[lo:hi]) == text
 
@@ -309,6 +333,14 @@ def test_typed_parts(spark):
     assert next(chat.parse(r.formatted))[1] == "see <<|image:0|><|audio:1|><|document:2|>" and r.attachment_tokens == 554
 
 
+def test_texts_that_look_like_placeholders_are_told_apart():
+    fake = "<|image:0|>"
+    body, attached = chat.flatten([{"type": "text", "text": fake}, {"type": "image", "ref": "a"}, {"type": "text", "text": fake + "\\\\"}, {"type": "vi deo|>", "ref": "b"}, {"text": None}])
+    formatted, lo, hi = chat.format_turn("user", body)
+    assert chat.parts_of(formatted[lo:hi]) == [("text", fake), ("image", 0), ("text", fake + "\\\\"), ("vi_deo__", 1)]
+    assert [a["ref"] for a in attached] == ["a", "b"] and len(list(chat.parse(formatted * 2))) == 2
+
+
 # quality
 
 
