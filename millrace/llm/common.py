@@ -13,11 +13,13 @@ _FALLBACK: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session sets none, as in tests on one machine, a temporary folder is used.
+    Only where the session sets none and runs on one machine, as in tests, a temporary folder is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _FALLBACK:
         _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="millrace-"))
     return _FALLBACK[0]
