@@ -37,6 +37,15 @@ def test_hosts_and_rules(spark):
     assert got == {i: u[1:] for i, u in enumerate(urls)}
 
 
+def test_long_urls_repeated_give_few_rules(spark):
+    long = "https://h.example/" + "/".join(f"{a}{b}" for a in "abcdef" for b in "vwxyz")
+    other = [f"https://h.example/{w}/" + "/".join(f"{a}{w}{i}" for i, a in zip("klmnopqrstuvwxyz"[:16], "abcdefghijklmnop")) for w in ("one", "two")]
+    rows = [(long, True)] * 10 + [(u, False) for u in other for _ in range(20)] + [("https://x.org/", False)] * 10
+    pages = spark.createDataFrame([(1, long), (2, other[0]), (3, "https://x.org/")], "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.mined_rule is not None) for r in url_filter.filter_urls(pages, spark.createDataFrame(rows, "url string, block boolean")).collect()}
+    assert got == {1: ("block", True), 2: ("allow", False), 3: ("allow", False)}
+
+
 def test_mined_rules_equal_brute_force(spark):
     rnd = random.Random(3)
     rows = []
