@@ -34,7 +34,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: lineage is cut and survives lost executors."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    # hashes and ids, which most columns are, gain nothing from a dictionary
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
