@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def match_recognize(df: DataFrame, partition: list[str], order: list[str], define: dict[str, str], pattern: str, skip_past: bool = True) -> DataFrame:
-    """All rows of all matches, with `match_number` (from 1 in a partition) and `classifier`.
+    """All rows of all matches, with `match_number` (from 1 in a partition), `match_row` (from 1 in a match) and `classifier`.
 
     define: variable -> SQL condition over the row; `prev_<c>` and `next_<c>` may be used for any column c.  A row takes
     the first variable in the pattern whose condition holds at its place; variables without a definition match any row.
@@ -33,7 +33,7 @@ def match_recognize(df: DataFrame, partition: list[str], order: list[str], defin
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order, kind="stable").reset_index(drop=True)
-        masks = [sum(1 << i for i, v in enumerate(names) if row[f"_is_{v}"]) for _, row in group.iterrows()]
+        masks = sum(group[f"_is_{v}"].to_numpy("int64") << i for i, v in enumerate(names)).tolist()
         symbols = "".join(chr(0x4E00 + m) for m in masks)
         compiled = regex
         for i, v in enumerate(names):
@@ -49,10 +49,12 @@ def match_recognize(df: DataFrame, partition: list[str], order: list[str], defin
                 number += 1
                 part = group.iloc[m.start() : m.end()][columns].copy()
                 part["match_number"] = number
+                part["match_row"] = range(1, len(part) + 1)
                 part["classifier"] = [next(v for i, v in enumerate(names) if masks[k] >> i & 1) for k in range(m.start(), m.end())]
                 out.append(part)
             at = m.end() if skip_past and m.end() > m.start() else m.start() + 1
-        return pd.concat(out) if out else group.iloc[:0][columns].assign(match_number=pd.Series(dtype="int64"), classifier=pd.Series(dtype="object"))
+        return pd.concat(out) if out else group.iloc[:0][columns].assign(match_number=pd.Series(dtype="int64"), match_row=pd.Series(dtype="int64"), classifier=pd.Series(dtype="object"))
 
-    schema = StructType([*df.schema.fields, StructField("match_number", LongType()), StructField("classifier", StringType())])
+    schema = StructType([*df.schema.fields, StructField("match_number", LongType()), StructField("match_row", LongType()), StructField("classifier", StringType())])
+    # a partition is one group in memory: patterns may reach over all of its rows
     return marked.groupBy(*partition).applyInPandas(run, schema)

@@ -178,6 +178,17 @@ OTHERS = {
     "teradata_mix": ("teradata", "SEL n_name FROM nation WHERE n_nationkey GT 20 QUALIFY ROW_NUMBER() OVER (ORDER BY n_nationkey) LE 3", "SELECT n_name FROM nation WHERE n_nationkey > 20 QUALIFY row_number() OVER (ORDER BY n_nationkey) <= 3"),
     "redshift_mix": ("redshift", "SELECT n_name, NVL(NULL, 1) AS a, n_nationkey / 2 AS d, LISTAGG(n_name, ',') WITHIN GROUP (ORDER BY n_name) OVER (PARTITION BY n_regionkey) AS b FROM nation", "SELECT n_name, 1 AS a, n_nationkey // 2 AS d, (SELECT string_agg(o.n_name, ',' ORDER BY o.n_name) FROM nation o WHERE o.n_regionkey = nation.n_regionkey) AS b FROM nation"),
     "databricks_mix": ("databricks", "SELECT n_name, n_nationkey::string AS s, try_divide(1, 0) AS t FROM nation WHERE n_name RLIKE '1$'", "SELECT n_name, n_nationkey::VARCHAR AS s, NULL::DOUBLE AS t FROM nation WHERE regexp_matches(n_name, '1$')"),
+    "oracle_outer_mark": ("oracle", "SELECT c.c_custkey AS k, o.o_orderkey AS o FROM customer c, orders o WHERE c.c_custkey = o.o_custkey(+) AND o.o_totalprice(+) > 300000 AND c.c_acctbal > 0", "SELECT c.c_custkey AS k, o.o_orderkey AS o FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000 WHERE c.c_acctbal > 0"),
+    "duckdb_pivot_any": ("duckdb", "PIVOT orders ON o_orderstatus USING count(*) GROUP BY o_orderpriority", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS \"F\", count(*) FILTER (WHERE o_orderstatus = 'O') AS \"O\", count(*) FILTER (WHERE o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY 1"),
+    "mysql_json_table": ("mysql", "SELECT event_id, j.n, j.k FROM events, JSON_TABLE(CONCAT('[', props, ',', props, ']'), '$[*]' COLUMNS(n FOR ORDINALITY, k INT PATH '$.k')) AS j", "SELECT event_id, n, (props->>'$.k')::INTEGER AS k FROM events, (VALUES (1::BIGINT), (2::BIGINT)) AS t(n)"),
+    "tsql_openjson": ("tsql", "SELECT event_id, j.k FROM events CROSS APPLY OPENJSON(props) WITH (k INT '$.k') AS j", "SELECT event_id, (props->>'$.k')::INTEGER AS k FROM events"),
+    "tsql_openjson_keys": ("tsql", "SELECT event_id, j.[key] AS k, j.value AS v FROM events CROSS APPLY OPENJSON(props) AS j", "SELECT event_id, 'k' AS k, props->>'$.k' AS v FROM events"),
+    "tsql_for_json": ("tsql", "SELECT r_regionkey, r_name FROM region ORDER BY r_regionkey FOR JSON PATH", "SELECT '[' || string_agg('{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}', ',' ORDER BY r_regionkey) || ']' AS json FROM region"),
+    "clickhouse_fill": ("clickhouse", "SELECT n_nationkey AS k, n_name AS s, n_regionkey AS r FROM nation WHERE n_nationkey % 3 = 0 ORDER BY k WITH FILL FROM 0 TO 30 STEP 1 INTERPOLATE (r)", "SELECT g.k::INTEGER AS k, coalesce(n_name, '') AS s, last_value(n_regionkey IGNORE NULLS) OVER (ORDER BY g.k) AS r FROM range(0, 30) AS g(k) LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 3 = 0) ON g.k = n_nationkey"),
+    "match_recognize": ("snowflake", "SELECT * FROM orders MATCH_RECOGNIZE (PARTITION BY o_custkey ORDER BY o_orderkey MEASURES MATCH_NUMBER() AS n, FIRST(down.o_orderkey) AS a, LAST(up.o_orderkey) AS b, COUNT(*) AS c PATTERN (down up) DEFINE down AS o_totalprice < PREV(o_totalprice), up AS o_totalprice > PREV(o_totalprice))", "WITH p AS (SELECT o_custkey, o_orderkey, o_totalprice < lag(o_totalprice) OVER w AS d, o_totalprice > lag(o_totalprice) OVER w AS u FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)), q AS (SELECT *, lead(o_orderkey) OVER w AS nk, lead(u) OVER w AS nu FROM p WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderkey AS a, nk AS b, 2::BIGINT AS c FROM q WHERE d AND nu"),
+    "slice_step": ("duckdb", "SELECT n_nationkey, array_to_string([n_nationkey, 1, 2, 3, 4][1:5:2], ',') AS s FROM nation", "SELECT n_nationkey, array_to_string([n_nationkey, 1, 2, 3, 4][1:5:2], ',') AS s FROM nation"),
+    "postgres_operator": ("postgres", "SELECT n_nationkey OPERATOR(pg_catalog.+) 2 AS a FROM nation", "SELECT n_nationkey + 2 AS a FROM nation"),
+    "mysql_match_against": ("mysql", "SELECT p_partkey FROM part WHERE MATCH(p_name, p_type) AGAINST ('bolt promo' IN NATURAL LANGUAGE MODE)", "SELECT p_partkey FROM part WHERE regexp_matches(lower(p_name || ' ' || p_type), '(^|\\W)(bolt|promo)(\\W|$)')"),
     "right_semi": ("spark", "SELECT c_custkey FROM orders RIGHT SEMI JOIN customer ON o_custkey = c_custkey", "SELECT c_custkey FROM customer SEMI JOIN orders ON o_custkey = c_custkey"),
 }
 

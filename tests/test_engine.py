@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.engine import Engine
+from millrace.front.dialects import UnsupportedSQL
 from millrace.operators.joins import asof_join, positional_join, range_join
 from millrace.operators.match_recognize import match_recognize
 from millrace.operators.relational import distinct_on, limit_by, reservoir, top_with_ties, with_fill
@@ -132,3 +133,44 @@ def test_python_functions(spark):
     assert e.sql("SELECT JAROWINKLER_SIMILARITY('MARTHA', 'MARHTA') AS j", "snowflake").first().j == 96  # an integer of 0 to 100 there
     assert spark.sql("SELECT * FROM sql_tokens('SELECT 1', 'duckdb')").count() == 2
     assert [tuple(x) for x in spark.sql("SELECT * FROM sql_lineage('SELECT a + 1 AS b FROM t', 'duckdb')").collect()] == [("b", "t", "a")]
+
+
+def test_multi_insert(spark):
+    e = Engine(spark, "oracle")
+    for t in ("small", "large", "rest"):
+        spark.sql(f"DROP TABLE IF EXISTS mi_{t}")
+        e.sql(f"CREATE TABLE mi_{t} (k INT)", "duckdb")
+    rows = "SELECT id AS k FROM (VALUES (1), (5), (50), (500)) AS t(id)"
+    got = lambda t: sorted(r.k for r in spark.table(f"mi_{t}").collect())
+    e.sql(f"INSERT ALL WHEN k < 100 THEN INTO mi_small (k) VALUES (k) WHEN k > 10 THEN INTO mi_large (k) VALUES (k + 1) ELSE INTO mi_rest (k) VALUES (k) {rows}")
+    assert (got("small"), got("large"), got("rest")) == ([1, 5, 50], [51, 501], [])
+    e.sql(f"INSERT FIRST WHEN k < 10 THEN INTO mi_small (k) VALUES (k) WHEN k < 100 THEN INTO mi_large (k) VALUES (k) ELSE INTO mi_rest (k) VALUES (k) {rows}")
+    assert (got("small"), got("large"), got("rest")) == ([1, 1, 5, 5, 50], [50, 51, 501], [500])
+    for t in ("small", "large", "rest"):
+        spark.sql(f"DROP TABLE mi_{t}")
+
+
+def test_functions_of_its_own(spark):
+    e = Engine(spark)
+    e.sql("CREATE OR REPLACE FUNCTION plus_two(x INT) RETURNS INT LANGUAGE SQL AS $$ SELECT x + 2 $$", "postgres")
+    e.sql("CREATE MACRO twice(a) AS a * 2", "duckdb")
+    assert tuple(e.sql("SELECT plus_two(3), twice(4)", "duckdb").first()) == (5, 8.0)
+
+
+def test_positions_of_tables_gather_only_partition_counts(eng):
+    plan = eng.sql("SELECT n_name, r_name FROM nation POSITIONAL JOIN region", "duckdb")._jdf.queryExecution().executedPlan().toString().splitlines()
+    below = [plan[i + 1] for i, line in enumerate(plan) if "SinglePartition" in line]
+    assert len(below) == 2 and all("HashAggregate(keys=[__part" in line for line in below)
+
+
+@pytest.mark.parametrize("sql", ["SELECT 1 FROM a, b WHERE a.x(+) = b.x(+)", "SELECT 1 FROM a, b WHERE a.x(+) = b.x AND b.y(+) = a.y"])
+def test_marked_joins_that_make_no_sense(spark, sql):
+    with pytest.raises(UnsupportedSQL):
+        Engine(spark).to_spark(sql, "oracle")
+
+
+def test_partitions_side_by_side(spark):
+    spark.range(0, 1000, 1, 7).selectExpr("id AS a").createOrReplaceTempView("left_seven")
+    spark.range(0, 900, 1, 3).selectExpr("id AS b").createOrReplaceTempView("right_three")
+    got = Engine(spark, "duckdb").sql("SELECT a, b FROM left_seven POSITIONAL JOIN right_three").collect()
+    assert sorted((r.a, r.b) for r in got if r.b is not None) == [(i, i) for i in range(900)] and len(got) == 1000
