@@ -143,10 +143,26 @@ def test_comments_survive_formatting():
 
 
 def test_text_to_text():
-    assert transpile("SELECT TOP 3 [a] FROM t", "tsql", "postgres") == ["SELECT TOP 3 \"a\" FROM t"]
+    assert transpile("SELECT TOP 3 [a] FROM t", "tsql", "postgres") == ["SELECT \"a\" FROM t LIMIT 3"]
+    assert transpile("SELECT a FROM t LIMIT 3", "postgres", "tsql") == ["SELECT TOP 3 a FROM t"]
     assert transpile("SELECT `a b` FROM t LIMIT 2", "mysql", "duckdb") == ['SELECT "a b" FROM t LIMIT 2']
 
 
+@pytest.mark.parametrize(
+    ("source", "target", "sql", "want"),
+    [
+        ("snowflake", "postgres", "NVL(a, 1)", "COALESCE(a, 1)"), ("snowflake", "postgres", "DATEADD(day, 1, b)", "b + INTERVAL '1 DAY'"), ("snowflake", "bigquery", "DATEADD(day, 1, b)", "DATE_ADD(b, INTERVAL 1 DAY)"),
+        ("mysql", "snowflake", "DATE_ADD(b, INTERVAL 2 MONTH)", "DATEADD(MONTH, 2, b)"), ("tsql", "mysql", "DATEDIFF(day, a, b)", "TIMESTAMPDIFF(DAY, a, b)"), ("bigquery", "duckdb", "DATE_DIFF(b, a, DAY)", "DATE_DIFF('day', a, b)"),
+        ("tsql", "postgres", "IIF(a > 1, 2, 3)", "CASE WHEN a > 1 THEN 2 ELSE 3 END"), ("mysql", "snowflake", "IF(a, 2, 3)", "IFF(a, 2, 3)"), ("tsql", "duckdb", "LEN(a)", "LENGTH(a)"), ("duckdb", "tsql", "LENGTH(a)", "LEN(a)"),
+        ("tsql", "postgres", "CHARINDEX('x', a)", "STRPOS(a, 'x')"), ("postgres", "mysql", "STRPOS(a, 'x')", "LOCATE('x', a)"), ("tsql", "postgres", "GETDATE()", "CURRENT_TIMESTAMP"),
+        ("mysql", "postgres", "GROUP_CONCAT(a ORDER BY b SEPARATOR '|')", "STRING_AGG(a, '|' ORDER BY b)"), ("snowflake", "mysql", "LISTAGG(a, '|') WITHIN GROUP (ORDER BY b)", "GROUP_CONCAT(a ORDER BY b SEPARATOR '|')"),
+        ("postgres", "snowflake", "STRING_AGG(a, ',' ORDER BY b)", "LISTAGG(a, ',') WITHIN GROUP (ORDER BY b)"), ("spark", "postgres", "COLLECT_LIST(a)", "ARRAY_AGG(a)"), ("snowflake", "bigquery", "TRY_CAST(a AS INT)", "SAFE_CAST(a AS INT)"),
+    ],
+)
+def test_calls_in_the_targets_words(source, target, sql, want):
+    assert transpile(f"SELECT {sql} FROM t", source, target) == [f"SELECT {want} FROM t"]
+
+
 def test_analysis():
     r = a.analyze("with c as (select a, b + 1 as d from t) select c.d as x, count(*) as n, 5, cast(d as int) from c group by 1", "duckdb")
     assert [p.kind for p in r.projections] == ["identity", "function", "literal", "cast"]
