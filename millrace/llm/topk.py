@@ -65,7 +65,7 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
         self.ids, self.x = ids, x
-        self.read = self.resolved = 0  # terms read in step, and candidates resolved, over all queries
+        self.read = self.resolved = 0  # list entries read, and candidates resolved, over all queries
         self.order = np.argsort(x, axis=0, kind="stable")  # ascending; read backwards for positive weights
         self.sorted = np.take_along_axis(x, self.order, axis=0)
 
@@ -89,12 +89,13 @@ class SortedLists:
         alive = self.ids[None, :] != query_ids[:, None]
         alive &= (up @ high + down @ low >= floor)[:, None]
         few = max(k, int(resolve * n))
+        before = 0
         for depth in sorted({n * part // 16 for part in (1, 2, 4, 6, 8, 10, 12, 14)} - {0}):
             asking, left = np.flatnonzero(alive.sum(axis=1) > few), np.flatnonzero(alive.any(axis=0))
             if not len(asking):
                 break
             top, bottom = self.seen(depth)
-            self.read += len(asking) * (top | bottom)[left].sum()
+            self.read, before = self.read + len(asking) * (depth - before) * q.shape[1], depth
             front_top, front_bottom = self.sorted[n - depth], self.sorted[depth - 1]
             x, top, bottom, some = self.x[left], top[left], bottom[left], signed[asking]
             upper = some @ np.hstack([(x - front_top) * top, (x - front_bottom) * bottom]).T + (up[asking] @ front_top + down[asking] @ front_bottom)[:, None]

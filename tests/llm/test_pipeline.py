@@ -71,5 +71,22 @@ def test_run(spark, corpus):
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
 
 
+def test_defined_cases(spark, tmp_path):
+    shape = "doc_id long, text string, lang string, source string, n_chars long, gone string, n_lines int"
+    long = " ".join(f"w{i % 977}" for i in range(30_000))
+    rows = [(1, None, "en", None, None, "a", 1), (2, "", "en", "s", 0, "b", 2), (3, "some text of a few words\n\nand more", None, "s", 9, "c", 3), (3, "some text of a few words\n\nand more", None, "s", 9, "c", 3), (None, "text without an id stays", "en", "s", 9, "d", 4), (5, long, "en", "s", len(long), "e", 5), (3, "another text under the same id", "en", "s", 1, "f", 6)]
+    for name, part in (("some", rows), ("none", [])):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(part, shape).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        for _, stage in pipe.STAGES[:-1]:
+            docs = pipe.stored(stage(spark, docs, d), "t")
+            assert docs.columns == [c.split()[0] for c in shape.split(", ")]
+        kept = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+        assert kept == sorted(((r[0], r[1]) for r in part), key=str)
+        assert pipe.run(spark, d).select("doc_id").distinct().count() == len({r[0] for r in part})
+
+
 def test_constants():
     assert len(pipe.STAGES) == 4 and pipe.ORACLE_SQL is None

@@ -388,3 +388,62 @@ def test_kth_greatest(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for k in (1, 7, 700, 1500, 2000):
         assert quality.kth_greatest(df, "v", k, most=50, bins=8) == sorted(values, reverse=True)[k - 1]
+
+
+def test_quality_equals_brute_force(spark):
+    """Weights, keys, k and the draw against loops over plain sets of n-grams; repeated rows and ties among them."""
+    import math
+    import re
+
+    rnd = random.Random(21)
+    rows = [(i, " ".join(rnd.choice(["bad", "awful"] if i % 4 == 0 and rnd.random() < 0.3 else ["good", "fine", "day", "sun", "sea"]) for _ in range(rnd.randrange(1, 30)))) for i in range(400)]
+    rows += [(7, rows[7][1]), (400, "no no no no"), (401, None), (402, "")]
+    labels = {i: i % 4 != 0 for i in range(0, 400, 3)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame(list(labels.items()) + [(9, None), (9999, True)], "doc_id long, good boolean")
+
+    def grams(text):
+        words = re.findall(r"\w+|[^\w\s]+", text.lower())
+        run = best = 1
+        for a, b in zip(words, words[1:]):
+            run = run + 1 if a == b else 1
+            best = max(best, run)
+        return {("word", w) for w in words} | {("run", min(best, quality.RUNS))}
+
+    texts = [(d, grams(t)) for d, t in rows if t]
+    n, target = len(texts), sum(labels.get(d) is True for d, _ in texts)
+    raw, good = defaultdict(int), defaultdict(int)
+    for d, own in texts:
+        for g in own:
+            raw[g] += 1
+            good[g] += labels.get(d) is True
+    share = target / n
+
+    def ratio(g):
+        expected = raw[g] * share
+        z = (good[g] - expected) / math.sqrt(max(expected * (1 - share), 1e-9))
+        r = math.log((good[g] + quality.PRIOR) / (expected + quality.PRIOR))
+        return r if abs(z) >= quality.MIN_Z and abs(r) >= quality.MIN_RATIO else 0.0
+
+    def noise(i, mask=(1 << 64) - 1):
+        z = (i + 0x9E3779B97F4A7C15) & mask
+        z = ((z ^ z >> 30) * 0xBF58476D1CE4E5B9) & mask
+        z = ((z ^ z >> 27) * 0x94D049BB133111EB) & mask
+        z ^= z >> 31
+        return -math.log(-math.log(((z >> 11) + 0.5) / 2.0**53))
+
+    weight = {(d, t): sum(map(ratio, grams(t))) if t else 0.0 for d, t in rows}
+    scored = [(weight[r], weight[r] + noise(r[0]), r[0]) for r in rows]
+    sample = [(weight[r], labels[r[0]]) for r in rows if r[0] in labels]
+    goods = sum(g for _, g in sample)
+    cuts = sorted({w for w, _ in sample if w <= 0}, reverse=True)
+    gain = lambda w: sum(g for x, g in sample if x >= w) / goods - sum(not g for x, g in sample if x >= w) / (len(sample) - goods)
+    best = max(cuts, key=gain)
+    below = [w for w, _ in sample if w < best]
+    at = (best + max(below)) / 2 if below else best
+    k = sum(w >= at for w, _, _ in scored)
+    least = sorted((key for _, key, _ in scored), reverse=True)[k - 1]
+    want = sorted((d, round(w, 4), round(key, 4)) for w, key, d in scored if key >= least)
+    got = sorted((r.doc_id, round(r.log_weight, 4), round(r.sample_key, 4)) for r in quality.selected_ids(df, lab).collect())
+    assert [x[0] for x in got] == [x[0] for x in want] and 300 < len(want) < len(rows)
+    assert all(abs(a[1] - b[1]) < 2e-3 and abs(a[2] - b[2]) < 2e-3 for a, b in zip(got, want, strict=True))
