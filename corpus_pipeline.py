@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of `documents`.  `run` writes each stage's result as Parquet in the cluster's shared folder and reads it again.
+
+Defined cases: a null or empty text passes the first three stages and is packed as its end id alone; equal rows (same id
+and text) stay or go together; a row without an id has no copies; an empty table gives an empty table of
+the last stage's columns; columns beside those of `documents` pass through the first three stages, whatever their names.
 """
 
 from __future__ import annotations
