@@ -103,6 +103,8 @@ class Engine:
                 out = self.spark.table(s.text.strip()).summary()
             else:
                 text = self.lower(s, source)
+                if isinstance(s, n.CreateFunction):
+                    self.functions.add(s.name[-1].lower())
                 out = self.spark.sql(text, args=args) if args else self.spark.sql(text)
             self._columns.clear() if not isinstance(s, n.Query) else None
         if out is None:

@@ -189,10 +189,37 @@ OTHERS = {
     "slice_step": ("duckdb", "SELECT n_nationkey, array_to_string([n_nationkey, 1, 2, 3, 4][1:5:2], ',') AS s FROM nation", "SELECT n_nationkey, array_to_string([n_nationkey, 1, 2, 3, 4][1:5:2], ',') AS s FROM nation"),
     "postgres_operator": ("postgres", "SELECT n_nationkey OPERATOR(pg_catalog.+) 2 AS a FROM nation", "SELECT n_nationkey + 2 AS a FROM nation"),
     "mysql_match_against": ("mysql", "SELECT p_partkey FROM part WHERE MATCH(p_name, p_type) AGAINST ('bolt promo' IN NATURAL LANGUAGE MODE)", "SELECT p_partkey FROM part WHERE regexp_matches(lower(p_name || ' ' || p_type), '(^|\\W)(bolt|promo)(\\W|$)')"),
+    "mysql_xor": ("mysql", "SELECT n_nationkey FROM nation WHERE (n_nationkey > 3) XOR (n_regionkey = 1)", "SELECT n_nationkey FROM nation WHERE (n_nationkey > 3) <> (n_regionkey = 1)"),
+    "postgres_time_zone": ("postgres", "SELECT o_orderkey AS k, CAST(EXTRACT(EPOCH FROM (TIMESTAMP '1970-01-02 00:00:00' AT TIME ZONE 'Asia/Tokyo')) AS BIGINT) AS e FROM orders", "SELECT o_orderkey AS k, 54000::BIGINT AS e FROM orders"),
+    "duckdb_collate": ("duckdb", "SELECT n_nationkey FROM nation WHERE n_name COLLATE NOCASE = 'nation_1'", "SELECT n_nationkey FROM nation WHERE lower(n_name) = 'nation_1'"),
+    "tuple_comparison": ("duckdb", "SELECT n_nationkey FROM nation WHERE (n_regionkey, n_nationkey) < (2, 5)", "SELECT n_nationkey FROM nation WHERE (n_regionkey, n_nationkey) < (2, 5)"),
+    "postgres_delayed_on": ("postgres", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation JOIN region ON n_regionkey = r_regionkey ON c_nationkey = n_nationkey", "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
+    "clickhouse_array_join": ("clickhouse", "SELECT n_name, x FROM nation ARRAY JOIN [n_nationkey, n_regionkey] AS x", "SELECT n_name, unnest([n_nationkey, n_regionkey]) AS x FROM nation"),
+    "mysql_straight_join": ("mysql", "SELECT n_name, r_name FROM nation STRAIGHT_JOIN region ON n_regionkey = r_regionkey", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "tsql_join_hint": ("tsql", "SELECT n_name, r_name FROM nation INNER HASH JOIN region ON n_regionkey = r_regionkey", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "postgres_group_distinct": ("postgres", "SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY DISTINCT ROLLUP (o_orderstatus), ROLLUP (o_orderstatus)", "SELECT o_orderstatus AS s, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus)"),
+    "bigquery_having_max": ("bigquery", "SELECT o_orderstatus AS s, ANY_VALUE(o_orderkey HAVING MAX o_totalprice) AS k FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus AS s, arg_max(o_orderkey, o_totalprice) AS k FROM orders GROUP BY 1"),
+    "hive_distribute": ("hive", "SELECT n_name FROM nation DISTRIBUTE BY n_regionkey SORT BY n_name", "SELECT n_name FROM nation"),
+    "hive_cluster": ("hive", "SELECT n_name FROM nation CLUSTER BY n_regionkey", "SELECT n_name FROM nation"),
+    "hive_window_words": ("hive", "SELECT n_name, row_number() OVER (DISTRIBUTE BY n_regionkey SORT BY n_nationkey) AS r FROM nation", "SELECT n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::INTEGER AS r FROM nation"),
+    "order_all": ("duckdb", "SELECT n_regionkey, n_nationkey FROM nation ORDER BY ALL LIMIT 7", "SELECT n_regionkey, n_nationkey FROM nation ORDER BY ALL LIMIT 7"),
+    "tsql_select_into": ("tsql", "SELECT n_name, n_regionkey INTO #picked FROM nation WHERE n_regionkey = 2; SELECT n_name FROM #picked", "SELECT n_name FROM nation WHERE n_regionkey = 2"),
+    "create_view": ("duckdb", "CREATE OR REPLACE TEMP VIEW big_orders AS SELECT * FROM orders WHERE o_totalprice > 300000; SELECT count(*) AS n FROM big_orders", "SELECT count(*) AS n FROM orders WHERE o_totalprice > 300000"),
+    "create_function": ("postgres", "CREATE OR REPLACE FUNCTION add_two(x INT) RETURNS INT LANGUAGE SQL AS $$ SELECT x + 2 $$; SELECT n_name, add_two(n_nationkey) AS a FROM nation", "SELECT n_name, n_nationkey + 2 AS a FROM nation"),
+    "snowflake_generator": ("snowflake", "SELECT COUNT(*) AS n FROM TABLE(GENERATOR(ROWCOUNT => 5))", "SELECT 5::BIGINT AS n"),
+    "postgres_containment": ("postgres", "SELECT n_nationkey AS k, ARRAY[1, 2, 3] @> ARRAY[n_nationkey] AS a, ARRAY[n_nationkey] <@ ARRAY[1, 2] AS b, ARRAY[1, 2] && ARRAY[n_nationkey, 9] AS c FROM nation", "SELECT n_nationkey AS k, n_nationkey IN (1, 2, 3) AS a, n_nationkey IN (1, 2) AS b, n_nationkey IN (1, 2) AS c FROM nation"),
+    "postgres_vector_distance": ("postgres", "SELECT vec_id, ROUND(CAST(embedding <-> embedding AS DOUBLE PRECISION), 3) AS d FROM embeddings", "SELECT vec_id, 0.0::DOUBLE AS d FROM embeddings"),
     "right_semi": ("spark", "SELECT c_custkey FROM orders RIGHT SEMI JOIN customer ON o_custkey = c_custkey", "SELECT c_custkey FROM customer SEMI JOIN orders ON o_custkey = c_custkey"),
 }
 
 
+#: Scans of files by their path: the text with the tables' folder to fill in, and DuckDB's.
+FILES = {
+    "sql_file_scan": ("SELECT n_name, n_regionkey FROM '{}/nation.parquet' WHERE n_nationkey < 9", "SELECT n_name, n_regionkey FROM nation WHERE n_nationkey < 9"),
+    "sql_reader_scan": ("SELECT r_name FROM read_parquet('{}/region.parquet')", "SELECT r_name FROM region"),
+}
+
+
 def texts() -> dict[str, tuple[str, str, str | None]]:
     return {f"sql_{k}": ("duckdb", v, v) for k, v in DUCK.items()} | {f"sql_{k}": v for k, v in OTHERS.items()} | function_queries.texts()
 
@@ -208,8 +235,12 @@ def runner(dialect: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: runner(d, text) for k, (d, text, _) in texts().items()}
+    return {k: runner(d, text) for k, (d, text, _) in texts().items()} | {k: at_path(text) for k, (text, _) in FILES.items()}
+
+
+def at_path(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: Engine(spark, "duckdb").sql(text.format(sf_dir))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: duck for k, (_, _, duck) in texts().items() if duck}
+    return {k: duck for k, (_, _, duck) in texts().items() if duck} | {k: duck for k, (_, duck) in FILES.items()}

@@ -922,6 +922,33 @@ GROUPS: dict[str, tuple[str, str, str]] = {
         JSON_ARRAY_INSERT('[1]', '$[0]', 2) => '[2,1]'
         JSON_VALID(props) => TRUE
     """),
+    "rest_generic": ("generic", "part", """
+        p_partkey
+        ARRAYJOIN(ARRAY('a', 'b'), ',') => 'a,b'
+        ARRAY_SUM(ARRAY(1, p_size)) => (1 + p_size)::DOUBLE
+        ARRAY_ANY(ARRAY(1, p_size), x -> x > 40) => p_size > 40
+        BIT_NOT(p_size) => ~p_size
+        DATETIME_FROM_PARTS(2024, 5, 6, 7, 8, 9) => TIMESTAMP '2024-05-06 07:08:09'
+        JSON_EXTRACT_PATH('{"a":{"b":1}}', 'a', 'b') => '1'
+        JSON_PARSE('{"a":1}') => '{"a":1}'
+        SPLIT_REGEX('a1b', '[0-9]')[1] => 'a'
+        STR_TO_TIME('1970-01-02', 'yyyy-MM-dd') IS NOT NULL => TRUE
+        TIME_TO_STR(DATE '2024-05-06', 'yyyy') => '2024'
+        FORMATDATETIME(DATE '2024-05-06', 'yyyy') => '2024'
+        UNIX_SECONDS(FROM_ISO8601_TIMESTAMP('1970-01-02T00:00:00Z')) => 86400::BIGINT
+        UNIX_SECONDS(FROM_ISO8601_TIMESTAMP_NANOS('1970-01-02T00:00:00.5Z')) => 86400::BIGINT
+        SIZE(JSON_ARRAY_ELEMENTS('["a","b"]')) => 2
+        LENGTH(NEWID()) => 36
+        SCHEMA_NAME() IS NOT NULL => TRUE
+        SUSER_NAME() IS NOT NULL => TRUE
+        SUSER_SNAME() IS NOT NULL => TRUE
+        SYSTEM_USER() IS NOT NULL => TRUE
+    """),
+    "rest_aggregates": ("generic", "orders GROUP BY o_orderstatus", """
+        o_orderstatus
+        SUM_IF(o_orderkey, o_custkey > 10) => (sum(o_orderkey) FILTER (WHERE o_custkey > 10))::BIGINT
+        ROUND(SKEW(o_totalprice), 1) => round(skewness(o_totalprice), 1)
+    """),
 }
 
 

@@ -26,9 +26,9 @@ def test_dialect_names():
 @pytest.mark.parametrize("name", texts())
 def test_round_trip(name):
     source, sql, _ = texts()[name]
-    once = generate(parse_one(sql, source), source)
-    assert generate(parse_one(once, source), source) == once
-    assert generate(parse_one(format_sql(sql, source), source), source) == once
+    once = [generate(s, source) for s in parse(sql, source)]
+    assert [generate(parse_one(text, source), source) for text in once] == once
+    assert [generate(s, source) for s in parse(format_sql(sql, source), source)] == once
 
 
 @settings(max_examples=200, deadline=None)
