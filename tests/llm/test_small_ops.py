@@ -188,6 +188,24 @@ def test_flow_is_cheapest():
         assert sum(into) == total and max(into) - min(into) <= 1
 
 
+@pytest.mark.parametrize("new_shards", [2, 3, 5])
+def test_flow_moves_the_fewest_bytes(new_shards):
+    """A shard over its capacity has to give away its rows of least bytes, a shard that ends all of them; nothing else moves."""
+    rnd = random.Random(new_shards)
+    for _ in range(30):
+        blocks = [(i % 3, (i // 3) * 10, rnd.randrange(1, 9), rnd.randrange(1, 90)) for i in range(9)]
+        out = resharding.plan_transfers(blocks, new_shards)
+        per_row = {(old, first): size / rows for old, first, rows, size in blocks}
+        block_of = lambda old, first: max(f for o, f, *_ in blocks if o == old and f <= first)
+        moved = sum(rows * per_row[old, block_of(old, first)] for old, first, rows, new in out if new != old)
+        into = [sum(t[2] for t in out if t[3] == j) for j in range(new_shards)]
+        best = 0.0
+        for old in range(3):
+            each = sorted(c for (o, _, rows, size) in blocks if o == old for c in [size / rows] * rows)
+            best += sum(each[: max(0, len(each) - into[old])] if old < new_shards else each)
+        assert moved == pytest.approx(best)
+
+
 # media
 
 
