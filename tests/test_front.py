@@ -195,3 +195,15 @@ def test_tokens_have_spans():
     sql = "select  a -- x\n from t"
     for t in tokenize(sql, comments=True):
         assert sql[t.start : t.end] == t.text
+
+
+def test_built_trees_that_lack_something():
+    from millrace.front import nodes as n
+
+    codes = lambda tree: [i.code for i in a.validate(tree)]
+    assert codes(n.Delete(n.Table([]), None, None)) == ["SEMANTIC_DELETE_TARGET"]
+    assert codes(n.Insert(["t"], [], None, False)) == ["SEMANTIC_MISSING_QUERY"]
+    assert codes(n.Query(None)) == ["SEMANTIC_MISSING_QUERY"]
+    assert codes(n.Query(n.Select([n.Alias(None, "x")]))) == ["SEMANTIC_MISSING_PROJECTION"]
+    assert codes(n.Query(n.Select([n.Lit("number", "1")], n.Derived(None, "d")))) == ["SEMANTIC_MISSING_QUERY"]
+    assert codes(parse_one("SELECT 1", "duckdb")) == []
