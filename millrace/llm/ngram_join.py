@@ -13,14 +13,16 @@ passage's n-grams are spread over fragments that hold others too; so no n-gram i
 
 A coarse cut verifies.  Candidate pairs meet fragment by fragment, each fragment's overlap is counted separately,
 and the counts are summed for each pair and compared with the exact threshold.  Before that a sketch sifts: of the
-counts of a set's hashes in SKETCH_BITS buckets the parities are kept; two sets that differ in d n-grams differ in d
-parities at most, so a pair with more than D differing parities is no link.
+counts of a set's hashes in buckets the parities are kept; two sets that differ in d n-grams differ in d parities at
+most, so a pair with more than D differing parities is no link.  Unlike sets differ in about half of all parities, so a
+sketch has a bucket for every n-gram at least (a power of two from SKETCH_BITS on): with fewer, D passes that half and
+a long set's sketch refuses nothing.  Sketches of two widths are compared in the narrower one, to which the wider folds.
 
-Links, not pairs: equal sets are one node.  The nodes of a key are first compared with the key's least node only; what
-verifies becomes components.  Nodes that keys tie together, verified or not, form neighbourhoods; in a neighbourhood
-that still has several components the sketches of all nodes of different components are compared, block by block and
-in memory, and the pairs that pass are verified.  So no link between different sets is lost, while neither copies nor
-near copies that fall short of the threshold are expanded into pairs of rows.
+Links, not pairs: equal sets are one node.  The nodes of a key are first compared with the key's least node, its hub,
+only; what verifies becomes components.  The nodes of a hub's keys form its neighbourhood; in a neighbourhood that
+still has several components the sketches of all nodes of different components are compared, block by block and in
+memory, and the pairs that pass are verified.  So no link between different sets is lost, while neither copies nor
+unlike nodes of a key are expanded into pairs of rows.
 
 Skew: each batch reduces a key to one node before the shuffle; keys travel in blobs dealt by key range, in sub-ranges
 that bound what a task holds.  The only thing broadcast is a bitmap of fixed size over node ids.
@@ -49,7 +51,8 @@ MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E
 SEEDS = 8
 COARSE = 4
 SKETCH_BITS = 1024
-BLOCK = 2048
+#: Nodes and bytes of sketches that a block holds at most (one node at least).
+BLOCK, BLOCK_BYTES = 2048, 1 << 20
 BITMAP_BITS = 1 << 25
 
 
@@ -92,11 +95,20 @@ def fingerprint(s: np.ndarray, mixed: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """The parities of the counts of hashes by their last bits."""
-    counts = np.bincount((s & U(SKETCH_BITS - 1)).astype("i8"), minlength=SKETCH_BITS)
+    """The parities of the counts of hashes by their last bits, in as many buckets as hashes at least."""
+    bits = max(SKETCH_BITS, 1 << max(len(s) - 1, 0).bit_length())
+    counts = np.bincount((s & U(bits - 1)).astype("i8"), minlength=bits)
     return np.packbits((counts & 1).astype("u1")).tobytes()
 
 
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches, rows of 64-bit words, in fewer buckets: a bucket's parity is that of its halves together."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
 @lru_cache(100_000)
 def interval(size: int, p: int, q: int) -> tuple[int, int, int]:
     """Number, least and greatest size of the interval that holds `size`."""
@@ -291,7 +303,9 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Numbers of differing bits between the rows of two arrays of 64-bit words, all pairs."""
+    """Numbers of differing bits between the rows of two arrays of 64-bit words, all pairs, in the narrower one's buckets."""
+    words = min(x.shape[1], y.shape[1])
+    x, y = folded(x, words), folded(y, words)
     out = np.zeros((len(x), len(y)), "i4")
     for w in range(x.shape[1]):
         out += np.bitwise_count(x[:, w, None] ^ y[None, :, w])
@@ -305,10 +319,17 @@ def _sift(p: int, q: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u8").reshape(batch.num_rows, -1) for c in ("x", "y"))
+            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
             most = (na + nb) * (q - p) // (q + p)
-            fits = (np.bitwise_count(x ^ y).sum(axis=1, dtype="i8") <= most) & (na * q >= nb * p) & (nb * q >= na * p)
+            fits = (na * q >= nb * p) & (nb * q >= na * p)
+            widths: dict[tuple[int, int], list[int]] = {}
+            for i in np.flatnonzero(fits):
+                widths.setdefault((len(x[i]) // 8, len(y[i]) // 8), []).append(i)
+            for (wide_x, wide_y), at in widths.items():
+                words = min(wide_x, wide_y)
+                both = [folded(np.frombuffer(b"".join(side[i] for i in at), "u8").reshape(len(at), -1), words) for side in (x, y)]
+                fits[at] = np.bitwise_count(both[0] ^ both[1]).sum(axis=1, dtype="i8") <= most[at]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(fits))
 
     return run
@@ -321,7 +342,7 @@ def sifted(pairs: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFrame:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes ordered by neighbourhood and size to blocks of at most BLOCK nodes."""
+    """Nodes ordered by neighbourhood and size to blocks of bounded size whose sketches have one width."""
     held: list[tuple] = []
 
     def block() -> pa.RecordBatch:
@@ -332,7 +353,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("area", "node", "c", "n", "grams")), strict=True):
-            if held and (held[0][0] != row[0] or len(held) == BLOCK):
+            if held and (held[0][0] != row[0] or len(held[0][4]) != len(row[4]) or len(held) >= min(BLOCK, max(BLOCK_BYTES // len(row[4]), 1))):
                 yield block()
                 held.clear()
             held.append(row)
@@ -405,9 +426,12 @@ def jaccard_components(
     named = sets.join(reps, ["n_shingles", "f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     rep_of = named.filter("n_shingles > 0 AND rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("rep"))
 
-    met = both.filter(F.col("kind") == MEMBER).select("hub", "node").distinct()
+    under = both.filter(F.col("kind") == MEMBER).select("key", "hub", "node")
+    tops = under.groupBy("key").agg(F.min("hub").alias("top"))  # batches give their own hubs first
+    met = under.join(tops, "key").select(F.col("top").alias("hub"), "node").distinct()
     met = met.join(rep_of.select(F.col("doc_id").alias("node"), F.col("rep").alias("rn")), "node").join(rep_of.select(F.col("doc_id").alias("hub"), F.col("rep").alias("rh")), "hub")
-    stars = stored(met.filter("rn <> rh").select(F.least("rn", "rh").alias("a"), F.greatest("rn", "rh").alias("b")).distinct(), "ngram-stars")
+    leaves = stored(met.filter("rn <> rh").select(F.col("rh").alias("area"), F.col("rn").alias("node")).distinct(), "ngram-stars")
+    stars = leaves.select(F.least("area", "node").alias("a"), F.greatest("area", "node").alias("b")).distinct()
     hashed = source.select("doc_id", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)) + 1).alias("h")).filter("doc_id IS NOT NULL")
 
     def pieces(pairs: DataFrame, sketches: bool) -> DataFrame:
@@ -421,12 +445,12 @@ def jaccard_components(
     links = stored(verify(near, pieces(near, False), p, q), "ngram-links")
     parts = connected_components(links)
 
-    # neighbourhoods that are still in several components: all pairs across components, by sketches, then exactly
-    areas = connected_components(stars).withColumnRenamed("component", "area")
-    placed = areas.join(parts, "node", "left").select("area", "node", F.coalesce("component", "node").alias("c"))
+    # neighbourhoods that are still in several components: all pairs across components, by sketches, then exactly; the
+    # hub has been compared with all others
+    placed = leaves.join(parts, "node", "left").select("area", "node", F.coalesce("component", "node").alias("c"))
     apart = placed.groupBy("area").agg((F.min("c") < F.max("c")).alias("apart")).filter("apart").select("area")
     open_nodes = placed.join(apart, "area", "left_semi").join(sketches.select("node", "n", "grams"), "node")
-    across = stored(pairs_across(open_nodes, p, q).join(stars, ["a", "b"], "left_anti"), "ngram-near")
+    across = stored(pairs_across(open_nodes, p, q).distinct().join(stars, ["a", "b"], "left_anti"), "ngram-near")
     more = stored(verify(across, pieces(across, False), p, q), "ngram-links")
     if more.limit(1).count():
         parts = connected_components(links.union(more))

@@ -94,3 +94,33 @@ def test_components(spark):
             group[a] = group[b] = min(group[a], group[b])
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: c for x, c in group.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_sketches_of_long_sets_refuse_unlike_ones():
+    rnd = np.random.default_rng(2)
+    for size, other in ((1000, 1300), (3000, 3000), (4000, 4200), (20_000, 17_000)):
+        s, t = (np.unique(rnd.integers(0, 1 << 62, n).astype("u8")) for n in (size, other))
+        batch = [[1], [2], [len(s)], [len(t)], [op.sketch(s)], [op.sketch(t)]]
+        made = op.pa.RecordBatch.from_arrays([op.pa.array(x) for x in batch], names=["a", "b", "na", "nb", "x", "y"])
+        assert sum(b.num_rows for b in op._sift(80, 100)(iter([made]))) == 0
+        near = np.unique(np.append(s[: int(size * 0.93)], t[: size // 20]))  # partners may have sketches of two widths
+        d, words = len(np.setxor1d(s, near)), [np.frombuffer(op.sketch(v), "u8")[None, :] for v in (s, near)]
+        assert op._differ(*words)[0, 0] <= d
+
+
+def test_long_texts_with_a_common_passage_make_no_pairs_to_verify(spark, monkeypatch):
+    rnd = random.Random(4)
+    passage = [f"p{i}" for i in range(300)]
+    rows = [(i, " ".join([f"w{i}x{rnd.randrange(10**6)}" for _ in range(3000)] + passage)) for i in range(40)]
+    rows += [(100 + i, " ".join(rows[0][1].split()[: 3200 + 5 * i])) for i in range(3)]
+    stored, near = op.stored, []
+
+    def kept(df, name):
+        out = stored(df, name)
+        if name == "ngram-near":
+            near.append(out)
+        return out
+
+    monkeypatch.setattr(op, "stored", kept)
+    got = run(spark, rows)
+    assert got == brute(rows) and sum(df.count() for df in near) <= 6
