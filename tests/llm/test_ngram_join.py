@@ -124,3 +124,17 @@ def test_long_texts_with_a_common_passage_make_no_pairs_to_verify(spark, monkeyp
     monkeypatch.setattr(op, "stored", kept)
     got = run(spark, rows)
     assert got == brute(rows) and sum(df.count() for df in near) <= 6
+
+
+def test_neighbourhoods_do_not_run_together_along_chains(spark, monkeypatch):
+    rnd = random.Random(5)
+    parts = [" ".join(f"q{i}x{rnd.randrange(10**6)}" for _ in range(20)) for i in range(90)]
+    rows = [(i, " ".join(parts[i : i + 10])) for i in range(80)]  # each overlaps with its neighbours and is like none
+    across, areas = op.pairs_across, []
+
+    def kept(nodes, p, q):
+        areas.extend(r["count"] for r in nodes.groupBy("area").count().collect())
+        return across(nodes, p, q)
+
+    monkeypatch.setattr(op, "pairs_across", kept)
+    assert run(spark, rows) == brute(rows) and areas and max(areas) < 40
