@@ -75,6 +75,19 @@ def test_mined_rules_equal_brute_force(spark):
     assert got == want and "block" in want.values()
 
 
+def test_rules_of_long_urls_are_all_mined(spark):
+    rnd = random.Random(8)
+    noise = [f"n{c}" for c in "abcdefghijklm"]
+    mixed = [(["wa", "wb", *noise], True)] * 60 + [([rnd.choice(["wa", "wb"]), *rnd.sample(noise, 2)], False) for _ in range(180)]
+    alike = [(["ya", "yb"], True)] * 20
+    rows = [(f"http://h.x/{'/'.join(w)}", b) for w, b in mixed + alike]
+    # the pair that decides says less by single tokens than the noise; each of two tokens of the same URLs decides
+    pages = ["http://z/wa/wb", "http://z/wa", "http://z/wb", "http://z/na", "http://z/ya", "http://z/yb", "http://z/na/nb/nc/nd/ne"]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(df, spark.createDataFrame(rows, "url string, block boolean")).collect()}
+    assert [got[i] for i in range(len(pages))] == ["block", "allow", "allow", "allow", "block", "block", "block"]
+
+
 def test_url_empty_tables(spark):
     empty = spark.createDataFrame([], "page_id long, url string, block boolean")
     assert url_filter.filter_urls(empty.drop("block"), empty.select("url", "block"), URL_RULES).count() == 0
