@@ -54,6 +54,8 @@ SKETCH_BITS = 1024
 #: Nodes and bytes of sketches that a block holds at most (one node at least).
 BLOCK, BLOCK_BYTES = 2048, 1 << 20
 BITMAP_BITS = 1 << 25
+#: Words whose hashes a worker holds; workers live on and hold what other stages cached too.
+MOST_CACHED = 200_000
 
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -71,7 +73,7 @@ def shingles(text: str | None, n: int = 4) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, "u8")
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > MOST_CACHED:
         _WORDS.clear()
     try:
         ids = [_WORDS[w] for w in words]
@@ -176,6 +178,12 @@ def _least_first(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.nd
     return keys, nodes, nodes[np.flatnonzero(first)][np.cumsum(first) - 1] if len(keys) else nodes
 
 
+def _in_parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple]:
+    """The rows of a batch, of which a part at a time becomes Python objects."""
+    for lo in range(0, batch.num_rows, rows):
+        yield from zip(*(c.slice(lo, rows).to_pylist() for c in batch.columns), strict=True)
+
+
 def _deal(n: int, p: int, q: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -184,7 +192,7 @@ def _deal(n: int, p: int, q: int, buckets: int):
             keys, nodes = [np.zeros(0, "u8")], [np.zeros(0, "i8")]
             docs: list[tuple[int, int, int, int]] = []
             missing: list[int] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text in _in_parts(batch):
                 s = shingles(text, n)
                 mixed = mix(s, 7)
                 f = fingerprint(s, mixed) if len(s) else (0, 0)

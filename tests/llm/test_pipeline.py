@@ -66,6 +66,19 @@ def test_near_copies_by_five_words_and_four_fifths(spark):
     assert kept == want != {d for d, (_, c) in jaccard_brute(rows).items() if c == d}
 
 
+def test_lines_of_a_crowded_key_all_meet(spark, monkeypatch):
+    from millrace.llm import line_dedup
+
+    rows = []
+    for i in range(20):
+        words = [f"w{i}x{j * 7919 + i}" for j in range(12)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:7], "other", *words[8:]]))]
+    monkeypatch.setattr(line_dedup, "keys_of", lambda n, simhash, s: F.array(F.lit(1).cast("long")))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.withColumn("n_chars", F.length("text").cast("long"))
+    assert {r.doc_id for r in pipe.line_dedup(spark, docs, "").collect()} == set(range(0, 40, 2))
+
+
 def test_run(spark, corpus):
     out = pipe.run(spark, corpus)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
