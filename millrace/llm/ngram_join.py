@@ -18,14 +18,16 @@ most, so a pair with more than D differing parities is no link.  Unlike sets dif
 sketch has a bucket for every n-gram at least (a power of two from SKETCH_BITS on): with fewer, D passes that half and
 a long set's sketch refuses nothing.  Sketches of two widths are compared in the narrower one, to which the wider folds.
 
-Links, not pairs: equal sets are one node.  The nodes of a key are first compared with the key's least node, its hub,
+Links, not pairs: equal sets are one node, and of rows of one text only that of the least id sends keys.  The nodes of a key are first compared with the key's least node, its hub,
 only; what verifies becomes components.  The nodes of a hub's keys form its neighbourhood; in a neighbourhood that
 still has several components the sketches of all nodes of different components are compared, block by block and in
 memory, and the pairs that pass are verified.  So no link between different sets is lost, while neither copies nor
 unlike nodes of a key are expanded into pairs of rows.
 
 Skew: each batch reduces a key to one node before the shuffle; keys travel in blobs dealt by key range, in sub-ranges
-that bound what a task holds.  The only thing broadcast is a bitmap of fixed size over node ids.
+that bound what a task holds.  Where they meet the key's least node is known, so what is written is the distinct pairs of
+it and another node; keys themselves are only written for nodes that have others under the key in their own batch.  The
+only thing broadcast is a bitmap of fixed size over node ids.
 
 Defined cases: a null or empty text has no n-grams and links with nothing; fewer words than n make one n-gram; rows
 that share an id share a component; rows with a null id get a null component; an empty table gives no rows; other
@@ -165,17 +167,18 @@ def unplanes(b: bytes, kind: str) -> np.ndarray:
 
 
 DEALT = "bucket int, kind int, keys binary, nodes binary, hubs binary"
-#: Kinds of dealt blobs and of rows: keys that still have to meet, members already under a key's node, documents.
-OPEN, MEMBER, DOCUMENT = 0, 1, 2
+#: Kinds of dealt blobs and of rows: keys that still have to meet (rows: nodes under a key's least one), members already
+#: under a key's node of their batch, documents, and such nodes of a batch under a key's least one.
+OPEN, MEMBER, DOCUMENT, LED = 0, 1, 2, 4
 MET = "kind int, key long, hub long, node long, n long"
 
 
-def _least_first(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys and nodes, and for each the least node of its key."""
+def _least_first(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys and nodes, for each the least node of its key, and the order."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     first = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
-    return keys, nodes, nodes[np.flatnonzero(first)][np.cumsum(first) - 1] if len(keys) else nodes
+    return keys, nodes, nodes[np.flatnonzero(first)][np.cumsum(first) - 1] if len(keys) else nodes, order
 
 
 def _in_parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple]:
@@ -184,7 +187,9 @@ def _in_parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple]:
         yield from zip(*(c.slice(lo, rows).to_pylist() for c in batch.columns), strict=True)
 
 
-def _deal(n: int, p: int, q: int, buckets: int):
+def _deal(n: int, p: int, q: int, buckets: int, senders: np.ndarray):
+    """senders: a bitmap of the ids whose keys are sent."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
@@ -192,7 +197,8 @@ def _deal(n: int, p: int, q: int, buckets: int):
             keys, nodes = [np.zeros(0, "u8")], [np.zeros(0, "i8")]
             docs: list[tuple[int, int, int, int]] = []
             missing: list[int] = []
-            for doc, text in _in_parts(batch):
+            sends = in_bitmap(senders, batch.column(2).to_numpy())
+            for own, (doc, text, _) in zip(sends, _in_parts(batch), strict=True):
                 s = shingles(text, n)
                 mixed = mix(s, 7)
                 f = fingerprint(s, mixed) if len(s) else (0, 0)
@@ -200,7 +206,7 @@ def _deal(n: int, p: int, q: int, buckets: int):
                     missing.append(len(s))
                     continue
                 docs.append((doc, len(s), *f))
-                if not len(s) or f in seen:
+                if not own or not len(s) or f in seen:
                     continue
                 if len(seen) > 2_000_000:  # only a saving: equal sets are one node anyway
                     seen.clear()
@@ -213,11 +219,12 @@ def _deal(n: int, p: int, q: int, buckets: int):
                 rows.append((abs(docs[0][0]) % buckets, DOCUMENT, planes(table[:, 0]), planes(table[:, 1]), planes(table[:, 2:])))
             if missing:
                 rows.append((0, DOCUMENT + 1, planes(np.array(missing, "i8")), b"", b""))
-            k, v, hubs = _least_first(np.concatenate(keys), np.concatenate(nodes))
+            k, v, hubs, _ = _least_first(np.concatenate(keys), np.concatenate(nodes))
             lead = v == hubs
+            leads = ~np.append(lead, True)[1:][lead]  # whether others of the batch are under the key
             at = ((k[lead] >> U(40)).astype("i8") * buckets) >> 24
             cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, "i8")
-            rows += [(int(at[a]), OPEN, planes(k[lead][a:b]), planes(v[lead][a:b]), b"") for a, b in zip(cuts, [*cuts[1:], len(at)], strict=False)]
+            rows += [(int(at[a]), OPEN, planes(k[lead][a:b]), planes(v[lead][a:b]), np.packbits(leads[a:b]).tobytes()) for a, b in zip(cuts, [*cuts[1:], len(at)], strict=False)]
             if not lead.all():
                 rows.append((int(k[~lead][0] % U(buckets)), MEMBER, planes(k[~lead]), planes(v[~lead]), planes(hubs[~lead])))
             for lo in range(0, len(rows), 4096):
@@ -227,18 +234,25 @@ def _deal(n: int, p: int, q: int, buckets: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blobs by bucket to rows: (key, hub, node) of keys with several nodes, and (f1, f2, doc, n) of documents."""
+    """Blobs by bucket to rows: (hub, node) of keys with several nodes, (key, hub, node) of those that members in a batch
+    are under and of these members, and (f1, f2, doc, n) of documents."""
     names = ["kind", "key", "hub", "node", "n"]
 
-    def rows(kind: int, k: np.ndarray, h: np.ndarray, v: np.ndarray, size: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, len(k), 100_000):
-            part = [pa.array(x[lo : lo + 100_000]) for x in (k.view("i8"), h, v)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, "i4")), *part, pa.array(size[lo : lo + 100_000]) if size is not None else pa.nulls(len(part[0]), pa.int64())], names=names)
+    def rows(kind: int, k: np.ndarray | None, h: np.ndarray, v: np.ndarray, size: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(h), 100_000):
+            part = [None if x is None else pa.array(x[lo : lo + 100_000]) for x in (k if k is None else k.view("i8"), h, v, size)]
+            none = pa.nulls(len(part[1]), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(none), kind, "i4")), *(none if x is None else x for x in part)], names=names)
 
     def settle(held: list) -> Iterator[pa.RecordBatch]:
         if held:
-            k, v, h = _least_first(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-            yield from rows(MEMBER, k[v != h], h[v != h], v[v != h])
+            k, v, h, order = _least_first(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+            led = np.concatenate([x[2] for x in held])[order] & (v != h)
+            yield from rows(LED, k[led], h[led], v[led])
+            at = np.lexsort((v, h))
+            h, v = h[at], v[at]
+            new = (h != v) & np.append(True, (h[1:] != h[:-1]) | (v[1:] != v[:-1]))
+            yield from rows(OPEN, None, h[new], v[new])
             held.clear()
 
     now, held = None, []
@@ -257,7 +271,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gone = pa.nulls(len(size), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(size), DOCUMENT, "i4")), gone, gone, gone, pa.array(size)], names=names)
             else:
-                held.append((unplanes(keys, "u8"), unplanes(nodes, "i8")))
+                k = unplanes(keys, "u8")
+                held.append((k, unplanes(nodes, "i8"), np.unpackbits(np.frombuffer(hubs, "u1"), count=len(k)).astype(bool)))
     yield from settle(held)
 
 
@@ -427,25 +442,28 @@ def jaccard_components(
     p, q = threshold
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     buckets = 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = source.mapInArrow(_deal(n, p, q, buckets), DEALT).repartition("bucket").sortWithinPartitions("bucket")
+    hashed = source.select("doc_id", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)) + 1).alias("h"))
+    texts = source.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
+    senders = id_bitmap(texts.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")), "doc_id")  # it may hold others: they send keys too
+    dealt = hashed.mapInArrow(_deal(n, p, q, buckets, senders), DEALT).repartition("bucket").sortWithinPartitions("bucket")
     both = stored(dealt.mapInArrow(_meet, MET), "ngram-met")
     sets = both.filter(F.col("kind") == DOCUMENT).select(F.col("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("key").alias("f1"), F.col("hub").alias("f2"))
     reps = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     named = sets.join(reps, ["n_shingles", "f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     rep_of = named.filter("n_shingles > 0 AND rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("rep"))
 
-    under = both.filter(F.col("kind") == MEMBER).select("key", "hub", "node")
-    tops = under.groupBy("key").agg(F.min("hub").alias("top"))  # batches give their own hubs first
-    met = under.join(tops, "key").select(F.col("top").alias("hub"), "node").distinct()
+    tops = both.filter(F.col("kind") == LED).select("key", F.col("node").alias("hub"), F.col("hub").alias("top"))
+    members = both.filter(F.col("kind") == MEMBER).join(tops, ["key", "hub"], "left")  # batches give their own hubs first
+    met = both.filter(F.col("kind") == OPEN).select("hub", "node").union(members.select(F.coalesce("top", "hub"), "node")).distinct()
     met = met.join(rep_of.select(F.col("doc_id").alias("node"), F.col("rep").alias("rn")), "node").join(rep_of.select(F.col("doc_id").alias("hub"), F.col("rep").alias("rh")), "hub")
     leaves = stored(met.filter("rn <> rh").select(F.col("rh").alias("area"), F.col("rn").alias("node")).distinct(), "ngram-stars")
     stars = leaves.select(F.least("area", "node").alias("a"), F.greatest("area", "node").alias("b")).distinct()
-    hashed = source.select("doc_id", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)) + 1).alias("h")).filter("doc_id IS NOT NULL")
+    known = hashed.filter("doc_id IS NOT NULL")
 
     def pieces(pairs: DataFrame, sketches: bool) -> DataFrame:
         """Sketches or fragments of the pairs' nodes, made where the texts are read; a bitmap picks them."""
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        made = hashed.mapInArrow(_fragments(n, id_bitmap(nodes, "node"), sketches), "node long, frag int, n long, grams binary")
+        made = known.mapInArrow(_fragments(n, id_bitmap(nodes, "node"), sketches), "node long, frag int, n long, grams binary")
         return made.dropDuplicates(["node", "frag"])  # rows may repeat an id
 
     sketches = stored(pieces(stars, True), "ngram-sketches")

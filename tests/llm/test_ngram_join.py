@@ -138,3 +138,31 @@ def test_neighbourhoods_do_not_run_together_along_chains(spark, monkeypatch):
 
     monkeypatch.setattr(op, "pairs_across", kept)
     assert run(spark, rows) == brute(rows) and areas and max(areas) < 40
+
+
+def test_copies_of_texts_and_of_keys_are_not_written(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows = [(100 * c + i, " ".join(f"w{i}x{j}" for j in range(200 + (i == c)))) for c in range(12) for i in range(20)]
+    rows += [(5000 + i, " ".join(f"z{rnd.randrange(10**6)}" for _ in range(50))) for i in range(20)]
+    stored, met = op.stored, []
+
+    def kept(df, name):
+        out = stored(df, name)
+        if name == "ngram-met":
+            met.append(out.filter(out.kind != op.DOCUMENT).count())
+        return out
+
+    monkeypatch.setattr(op, "stored", kept)
+    assert run(spark, rows, 12) == brute(rows) and sum(met) < 30 * len(rows)
+    met.clear()
+    assert run(spark, [(d, t) for d, t in rows if d % 100 != d // 100], 12) and sum(met) == 0
+
+
+def test_members_of_batches_are_under_the_least_node_of_their_key(spark):
+    rows = near_copies(7, 60)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        assert run(spark, rows, 3) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
