@@ -43,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import stored
+from .common import alone, in_parts, stored
 from .components import connected_components
 
 _WORDS: dict[bytes, int] = {}
@@ -92,6 +92,10 @@ def shingles(text: str | None, n: int = 4) -> np.ndarray:
     return np.unique(mix(total))
 
 
+def forget() -> None:
+    _WORDS.clear()
+
+
 def fingerprint(s: np.ndarray, mixed: np.ndarray) -> tuple[int, int]:
     """Two 64-bit sums over a set."""
     with np.errstate(over="ignore"):
@@ -177,14 +181,10 @@ def _least_first(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.nd
     """Sorted keys and nodes, for each the least node of its key, and the order."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
-    first = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
-    return keys, nodes, nodes[np.flatnonzero(first)][np.cumsum(first) - 1] if len(keys) else nodes, order
-
-
-def _in_parts(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple]:
-    """The rows of a batch, of which a part at a time becomes Python objects."""
-    for lo in range(0, batch.num_rows, rows):
-        yield from zip(*(c.slice(lo, rows).to_pylist() for c in batch.columns), strict=True)
+    first = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    starts, later, least = np.flatnonzero(first), np.flatnonzero(~first), nodes.copy()
+    least[later] = nodes[starts[np.searchsorted(starts, later, "right") - 1]]
+    return keys, nodes, least, order
 
 
 def _deal(n: int, p: int, q: int, buckets: int, senders: np.ndarray):
@@ -194,11 +194,11 @@ def _deal(n: int, p: int, q: int, buckets: int, senders: np.ndarray):
         seen: set[tuple[int, int]] = set()
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         for batch in batches:
-            keys, nodes = [np.zeros(0, "u8")], [np.zeros(0, "i8")]
+            keys, nodes = [np.zeros(0, "u8")], [0]
             docs: list[tuple[int, int, int, int]] = []
             missing: list[int] = []
             sends = in_bitmap(senders, batch.column(2).to_numpy())
-            for own, (doc, text, _) in zip(sends, _in_parts(batch), strict=True):
+            for own, (doc, text, _) in zip(sends, in_parts(batch), strict=True):
                 s = shingles(text, n)
                 mixed = mix(s, 7)
                 f = fingerprint(s, mixed) if len(s) else (0, 0)
@@ -212,23 +212,29 @@ def _deal(n: int, p: int, q: int, buckets: int, senders: np.ndarray):
                     seen.clear()
                 seen.add(f)
                 keys.append(keys_of(s, mixed, p, q))
-                nodes.append(np.full(len(keys[-1]), doc, "i8"))
+                nodes.append(doc)
             rows = []
             if docs:
                 table = np.array(docs, "i8")
                 rows.append((abs(docs[0][0]) % buckets, DOCUMENT, planes(table[:, 0]), planes(table[:, 1]), planes(table[:, 2:])))
             if missing:
                 rows.append((0, DOCUMENT + 1, planes(np.array(missing, "i8")), b"", b""))
-            k, v, hubs, _ = _least_first(np.concatenate(keys), np.concatenate(nodes))
+            nodes = np.repeat(np.array(nodes, "i8"), [len(x) for x in keys])
+            keys = np.concatenate(keys)
+            k, v, hubs = _least_first(keys, nodes)[:3]
+            del keys, nodes
             lead = v == hubs
             leads = ~np.append(lead, True)[1:][lead]  # whether others of the batch are under the key
-            at = ((k[lead] >> U(40)).astype("i8") * buckets) >> 24
-            cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, "i8")
-            rows += [(int(at[a]), OPEN, planes(k[lead][a:b]), planes(v[lead][a:b]), np.packbits(leads[a:b]).tobytes()) for a, b in zip(cuts, [*cuts[1:], len(at)], strict=False)]
             if not lead.all():
                 rows.append((int(k[~lead][0] % U(buckets)), MEMBER, planes(k[~lead]), planes(v[~lead]), planes(hubs[~lead])))
-            for lo in range(0, len(rows), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[lo : lo + 4096]], t) for i, t in enumerate(kinds)], names=["bucket", "kind", "keys", "nodes", "hubs"])
+            k, v, hubs = k[lead], v[lead], None
+            at = ((k >> U(40)).astype("i8") * buckets) >> 24
+            cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, "i8")
+            ends = np.append(cuts[1:], len(at))
+            for lo in range(0, max(len(cuts), 1), 1024):
+                rows += [(int(at[a]), OPEN, planes(k[a:b]), planes(v[a:b]), np.packbits(leads[a:b]).tobytes()) for a, b in zip(cuts[lo : lo + 1024], ends[lo : lo + 1024], strict=False)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["bucket", "kind", "keys", "nodes", "hubs"])
+                rows.clear()
 
     return run
 
@@ -361,7 +367,7 @@ def _sift(p: int, q: int):
 def sifted(pairs: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFrame:
     left = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("grams").alias("x"))
     right = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "x", "y").mapInArrow(_sift(p, q), "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "x", "y").mapInArrow(alone(_sift(p, q), "ngrams", forget), "a long, b long")
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,12 +421,12 @@ def pairs_across(nodes: DataFrame, p: int, q: int) -> DataFrame:
     Blocks meet blocks, so a large area is spread over tasks, and only blocks whose sizes can match meet.
     """
     parts = nodes.select("area", "node", "c", "n", "grams").repartitionByRange("area", "n").sortWithinPartitions("area", "n", "node")
-    made = parts.mapInArrow(_blocks, "area long, low long, high long, nodes binary, sketches binary")
+    made = parts.mapInArrow(alone(_blocks, "ngrams", forget), "area long, low long, high long, nodes binary, sketches binary")
     blocks = stored(made.withColumn("block", F.xxhash64("nodes")), "ngram-blocks")
     x = blocks.select("area", *(F.col(c).alias(f"{c}_x") for c in ("block", "low", "high", "nodes", "sketches")))
     y = blocks.select("area", *(F.col(c).alias(f"{c}_y") for c in ("block", "low", "high", "nodes", "sketches")))
     met = x.join(y, "area").filter((F.col("block_x") <= F.col("block_y")) & (F.col("low_x") * p <= F.col("high_y") * q) & (F.col("low_y") * p <= F.col("high_x") * q))
-    return met.select((F.col("block_x") == F.col("block_y")).alias("same"), "nodes_x", "sketches_x", "nodes_y", "sketches_y").mapInArrow(_across(p, q), "a long, b long")
+    return met.select((F.col("block_x") == F.col("block_y")).alias("same"), "nodes_x", "sketches_x", "nodes_y", "sketches_y").mapInArrow(alone(_across(p, q), "ngrams", forget), "a long, b long")
 
 
 def verify(pairs: DataFrame, fragments: DataFrame, p: int, q: int) -> DataFrame:
@@ -429,7 +435,7 @@ def verify(pairs: DataFrame, fragments: DataFrame, p: int, q: int) -> DataFrame:
     right = fragments.select(F.col("node").alias("b"), "frag", F.col("n").alias("nb"), F.col("grams").alias("y"))
     # the side that varies is fetched first; the key's least node, which many pairs share, comes last
     met = pairs.join(right, "b").join(left, ["a", "frag"]).filter((F.col("na") * q >= F.col("nb") * p) & (F.col("nb") * q >= F.col("na") * p))
-    partial = met.select("a", "b", "na", "nb", "x", "y").mapInArrow(_overlaps, "a long, b long, na long, nb long, partial long")
+    partial = met.select("a", "b", "na", "nb", "x", "y").mapInArrow(alone(_overlaps, "ngrams", forget), "a long, b long, na long, nb long, partial long")
     summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("partial").alias("both"))
     return summed.filter(F.col("both") * q >= (F.col("na") + F.col("nb") - F.col("both")) * p).select("a", "b")
 
@@ -445,8 +451,8 @@ def jaccard_components(
     hashed = source.select("doc_id", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)) + 1).alias("h"))
     texts = source.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2"))
     senders = id_bitmap(texts.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")), "doc_id")  # it may hold others: they send keys too
-    dealt = hashed.mapInArrow(_deal(n, p, q, buckets, senders), DEALT).repartition("bucket").sortWithinPartitions("bucket")
-    both = stored(dealt.mapInArrow(_meet, MET), "ngram-met")
+    dealt = hashed.mapInArrow(alone(_deal(n, p, q, buckets, senders), "ngrams", forget), DEALT).repartition("bucket").sortWithinPartitions("bucket")
+    both = stored(dealt.mapInArrow(alone(_meet, "ngrams", forget), MET), "ngram-met")
     sets = both.filter(F.col("kind") == DOCUMENT).select(F.col("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("key").alias("f1"), F.col("hub").alias("f2"))
     reps = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     named = sets.join(reps, ["n_shingles", "f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
@@ -463,7 +469,7 @@ def jaccard_components(
     def pieces(pairs: DataFrame, sketches: bool) -> DataFrame:
         """Sketches or fragments of the pairs' nodes, made where the texts are read; a bitmap picks them."""
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        made = known.mapInArrow(_fragments(n, id_bitmap(nodes, "node"), sketches), "node long, frag int, n long, grams binary")
+        made = known.mapInArrow(alone(_fragments(n, id_bitmap(nodes, "node"), sketches), "ngrams", forget), "node long, frag int, n long, grams binary")
         return made.dropDuplicates(["node", "frag"])  # rows may repeat an id
 
     sketches = stored(pieces(stars, True), "ngram-sketches")

@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import alone
+
 #: Characters that some regex engine may call white space though Python doesn't.
 _ODD_SPACE = "\u180e\u200b\ufeff"
 CACHE_WORDS = 250_000
@@ -110,6 +112,10 @@ def tokenizer(path: str) -> WordCachedTokenizer:
     return _TOKENIZERS[path]
 
 
+def forget() -> None:
+    _TOKENIZERS.clear()
+
+
 def cut(n: int, seq_len: int) -> list[tuple[int, int]]:
     """(start, length) of each piece of a document with n ids."""
     if n <= seq_len:
@@ -201,7 +207,7 @@ def pack(
     """Pack documents: one row a piece with doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, little-endian
     unsigned 32-bit, with keep_ids)."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    run = tokenize_pieces(lambda: tokenizer(vocab), seq_len, end_id, keep_ids)
+    run = alone(tokenize_pieces(lambda: tokenizer(vocab), seq_len, end_id, keep_ids), "packing", forget)
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
     dealt = pieces.hint("rebalance", F.col("doc_id"), F.col("piece"))
-    return dealt.mapInArrow(pack_stream(seq_len, open_bins), schema + ", sequence_id long, offset long")
+    return dealt.mapInArrow(alone(pack_stream(seq_len, open_bins), "packing", forget), schema + ", sequence_id long, offset long")

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import drop_path, scratch
+from .common import alone, drop_path, in_parts, scratch
 
 BUCKETS = 1 << 20
 RUNS = 9  # buckets 0 to 8: the longest run of one word, from 1 to 9 or more
@@ -39,6 +39,12 @@ MAX_LABELS = 50_000
 PRIOR, MIN_Z, MIN_RATIO = 0.5, 3.0, 0.5
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _WORDS: dict[str, int] = {}
+#: Words whose hashes a worker holds.
+MOST_CACHED = 250_000
+
+
+def forget() -> None:
+    _WORDS.clear()
 
 
 def token_buckets(text: str) -> np.ndarray:
@@ -46,7 +52,7 @@ def token_buckets(text: str) -> np.ndarray:
     import xxhash
 
     words = _TOKEN.findall(text.lower())
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > MOST_CACHED:
         _WORDS.clear()
     try:
         ids = [_WORDS[w] for w in words]
@@ -74,7 +80,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     n, docs = 0, [0, 0]
     for batch in batches:
-        for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for text, good in in_parts(batch):
             if not text:
                 continue
             own = token_buckets(text)
@@ -134,9 +140,9 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_lab
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """The ratio table from all documents; docs has `_good`."""
     shape = "chunk int, good binary, raw binary"
-    counted = docs.select(text_col, F.coalesce("_good", F.lit(False)).alias("good")).mapInArrow(_count, shape)
+    counted = docs.select(text_col, F.coalesce("_good", F.lit(False)).alias("good")).mapInArrow(alone(_count, "quality", forget), shape)
     good, raw, docs_good, docs_raw = np.zeros(BUCKETS, "i8"), np.zeros(BUCKETS, "i8"), 0, 0
-    for r in counted.repartition("chunk").mapInArrow(_merge, shape).collect():  # a table of fixed size
+    for r in counted.repartition("chunk").mapInArrow(alone(_merge, "quality", forget), shape).collect():  # a table of fixed size
         if r.chunk < 0:
             docs_good, docs_raw = int(np.frombuffer(r.good, "i8")[0]), int(np.frombuffer(r.raw, "i8")[0])
         else:
@@ -161,11 +167,11 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(id_col).fill_null(-1).to_numpy(zero_copy_only=False)
-            w = np.array([model.weight(t) for t in batch.column(text_col).to_pylist()], "f8")
+            w = np.array([model.weight(t) for (t,) in in_parts(batch.select([text_col]))], "f8")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w), pa.array(w + model.noise(ids))], names=[*batch.schema.names, weight, key])
 
     kept = docs.drop(weight, key)
-    return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{weight}` double", f"`{key}` double"]))
+    return kept.mapInArrow(alone(run, "quality", forget), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), f"`{weight}` double", f"`{key}` double"]))
 
 
 def separating(sample: list[tuple[float, bool]]) -> float | None:

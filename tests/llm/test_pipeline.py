@@ -79,6 +79,33 @@ def test_lines_of_a_crowded_key_all_meet(spark, monkeypatch):
     assert {r.doc_id for r in pipe.line_dedup(spark, docs, "").collect()} == set(range(0, 40, 2))
 
 
+def test_workers_hold_the_caches_of_one_operator(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").repartition(16)
+    pipe.stored(pipe.quality(spark, docs, corpus), "t")
+    pipe.stored(pipe.ngram_join(spark, docs, corpus), "t")
+
+    def held(batches):
+        import os
+        import time
+
+        import pyarrow as pa
+        from millrace.llm import ngram_join, packing, quality
+
+        for batch in batches:
+            time.sleep(0.05)
+            n = [len(x) for x in (quality._WORDS, ngram_join._WORDS, packing._TOKENIZERS)]
+            yield pa.RecordBatch.from_arrays([pa.array([os.getpid()]), *(pa.array([x]) for x in n)], names=["pid", "quality", "ngrams", "packing"])
+
+    def workers():
+        return spark.range(0, 32, 1, 32).mapInArrow(held, "pid long, quality long, ngrams long, packing long").distinct().collect()
+
+    found = workers()
+    assert any(r.ngrams for r in found) and not any(r.ngrams and r.quality for r in found)
+    pipe.stored(pipe.packing(spark, docs, corpus), "t")
+    found = workers()
+    assert any(r.packing for r in found) and not any(r.packing and (r.ngrams or r.quality) for r in found)
+
+
 def test_run(spark, corpus):
     out = pipe.run(spark, corpus)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
