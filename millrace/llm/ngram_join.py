@@ -43,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import alone, in_parts, stored
+from .common import alone, in_parts, let_go, stored
 from .components import connected_components
 
 _WORDS: dict[bytes, int] = {}
@@ -453,6 +453,7 @@ def jaccard_components(
     senders = id_bitmap(texts.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")), "doc_id")  # it may hold others: they send keys too
     dealt = hashed.mapInArrow(alone(_deal(n, p, q, buckets, senders), "ngrams", forget), DEALT).repartition("bucket").sortWithinPartitions("bucket")
     both = stored(dealt.mapInArrow(alone(_meet, "ngrams", forget), MET), "ngram-met")
+    let_go(spark)  # the dealt keys
     sets = both.filter(F.col("kind") == DOCUMENT).select(F.col("node").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("key").alias("f1"), F.col("hub").alias("f2"))
     reps = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     named = sets.join(reps, ["n_shingles", "f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
@@ -483,6 +484,7 @@ def jaccard_components(
     apart = placed.groupBy("area").agg((F.min("c") < F.max("c")).alias("apart")).filter("apart").select("area")
     open_nodes = placed.join(apart, "area", "left_semi").join(sketches.select("node", "n", "grams"), "node")
     across = stored(pairs_across(open_nodes, p, q).distinct().join(stars, ["a", "b"], "left_anti"), "ngram-near")
+    let_go(spark, sketches)
     more = stored(verify(across, pieces(across, False), p, q), "ngram-links")
     if more.limit(1).count():
         parts = connected_components(links.union(more))

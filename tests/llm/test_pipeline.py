@@ -112,6 +112,18 @@ def test_run(spark, corpus):
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
 
 
+def test_stages_results_go(spark, corpus):
+    from pathlib import Path
+
+    from millrace.llm.common import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"), "millrace")
+    before = {p.name for p in folder.glob("*")}
+    assert pipe.run(spark, corpus).count()
+    left = {p.name.rsplit("-", 1)[0] for p in folder.glob("*") if p.name not in before}
+    assert {name.replace(" ", "-") for name, _ in pipe.STAGES} & left == {"best-fit-packing"}
+
+
 def test_defined_cases(spark, tmp_path):
     shape = "doc_id long, text string, lang string, source string, n_chars long, gone string, n_lines int"
     long = " ".join(f"w{i % 977}" for i in range(30_000))
