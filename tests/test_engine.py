@@ -44,6 +44,22 @@ def test_connect_by(eng):
     assert sorted(map(tuple, eng.sql(sql, source).collect())) == [(1, 1, "/1", 1), (2, 2, "/1/2", 1), (3, 2, "/1/3", 1), (4, 3, "/1/2/4", 1)]
 
 
+def test_keep_counts_all_ties(spark):
+    rows = [(1, 5, 9.0), (1, 8, 9.0), (1, 7, 9.0), (1, 1, 2.0), (1, 3, 2.0), (2, 4, 1.0), (2, 6, None), (2, None, None)]
+    for rows_ in (rows, rows[::-1]):
+        spark.createDataFrame(rows_, "g int, x bigint, p double").repartition(3).createOrReplaceTempView("kept")
+        keep = "KEEP (DENSE_RANK {} ORDER BY p{})".format
+        items = [
+            f"MAX(x) {keep('LAST', '')}", f"MIN(x) {keep('LAST', '')}", f"MAX(x) {keep('FIRST', '')}", f"MIN(x) {keep('FIRST', '')}", f"MAX(x) {keep('LAST', ' NULLS FIRST')}", f"MAX(x) {keep('FIRST', ' DESC')}",
+            f"SUM(x) {keep('LAST', '')}", f"COUNT(*) {keep('LAST', '')}", f"COUNT(x) {keep('LAST', '')}", f"AVG(x) {keep('FIRST', '')}", f"MIN(x) {keep('FIRST', ', x DESC')}",
+        ]
+        sql = f"SELECT g, {', '.join(f'{x} AS c{i}' for i, x in enumerate(items))} FROM kept GROUP BY g"
+        # Oracle's nulls rank last in ascending and first in descending order
+        assert sorted(map(tuple, Engine(spark).sql(sql, "oracle").collect())) == [(1, 8, 5, 3, 1, 8, 8, 20, 3, 3, 2.0, 3), (2, 6, 6, 4, 4, 4, 6, 6, 2, 1, 4.0, 4)]
+        over = f"SELECT DISTINCT g, MAX(x) {keep('LAST', '')} OVER (PARTITION BY g) AS a FROM kept"
+        assert sorted(map(tuple, Engine(spark).sql(over, "oracle").collect())) == [(1, 8), (2, 6)]
+
+
 def test_row_level_writes(spark):
     e = Engine(spark)
     spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string").createOrReplaceTempView("w")
