@@ -59,9 +59,9 @@ class Engine:
             raise UnsupportedSQL(f"PIVOT over more than {most} values")
         return [r[0] for r in rows]
 
-    def match_view(self, base: str, partition: list[str], order: list[str], define: dict[str, str], pattern: str, skip_past: bool) -> str:
+    def match_view(self, base: str, partition: list[str], order: list[str], define: dict[str, str], pattern: str, skip_past: bool, columns: set[str] | None = None) -> str:
         name = f"__matches_{uuid.uuid4().hex[:8]}"
-        match_recognize(self.spark.sql(base), partition, order, define, pattern, skip_past).createOrReplaceTempView(name)
+        match_recognize(self.spark.sql(base), partition, order, define, pattern, skip_past, columns).createOrReplaceTempView(name)
         return f"`{name}`"
 
     def insert_all(self, s: n.InsertAll, source: str) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +113,33 @@ def test_match_recognize(spark):
     assert [(r.t, r.match_number, r.classifier) for r in out] == [(1, 1, "DOWN"), (2, 1, "DOWN"), (3, 1, "UP"), (4, 1, "UP"), (5, 2, "DOWN"), (6, 2, "UP")]
 
 
+def test_match_recognize_runs_over_batches(spark):
+    """Many partitions share a task's batches, and a partition may reach over several of them."""
+    rng = random.Random(5)
+    rows = [(g if g else None, t, rng.choice([None, *range(6)])) for g, size in enumerate([3, 1, 40, 2, 2, 17, 1, 5, 90]) for t in range(size)]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "s int, t int, p int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for pattern, skip in (("DOWN+ UP+", True), ("DOWN+ UP+", False), ("DOWN* UP??", True), ("^ UP | DOWN $", True), ("UP{2,3}", False)):
+            out = match_recognize(df, ["s"], ["t"], {"DOWN": "p < prev_p", "UP": "p > prev_p"}, pattern, skip)
+            assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+            rx, want = re.compile(re.sub(r"\s", "", pattern.replace("DOWN", "D").replace("UP", "U"))), set()
+            for g in {r[0] for r in rows}:
+                p = [r[2] for r in rows if r[0] == g]
+                signs = "." + "".join("." if a is None or b is None or a == b else "D" if b < a else "U" for a, b in zip(p, p[1:], strict=False))
+                at = number = 0
+                while at < len(signs) and (m := rx.search(signs, at)):
+                    number += m.end() > m.start()
+                    want |= {(g, i, p[i], number, i - m.start() + 1, "DOWN" if signs[i] == "D" else "UP") for i in range(*m.span())}
+                    at = m.end() if skip and m.end() > m.start() else m.start() + 1
+            got = [tuple(r) for r in out.collect()]
+            assert len(got) == len(want) and set(got) == want
+        whole = match_recognize(df.where("s = 8"), [], ["t"], {"DOWN": "p < prev_p"}, "DOWN", columns={"p"})
+        assert whole.columns == ["p", "match_number", "match_row", "classifier"] and whole.count() > 9
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_windows(spark):
     ev = spark.read.parquet(f"{SF}/events.parquet")
     w = windowed(ev, "ts", "1 day", None, ["event_type"], [F.count("*").alias("n")])
