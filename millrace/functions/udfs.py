@@ -122,7 +122,16 @@ TABLE_FUNCTIONS = {
 }
 
 
+def register_top_k(spark: SparkSession) -> None:
+    """Spark's own aggregate of the first rows, which it doesn't name in SQL."""
+    catalyst = spark._jvm.org.apache.spark.sql.catalyst
+    name = catalyst.FunctionIdentifier("collect_top_k")
+    own = getattr(getattr(catalyst.analysis, "FunctionRegistry$"), "MODULE$").internal()
+    spark._jsparkSession.sessionState().functionRegistry().createOrReplaceTempFunction("collect_top_k", own.lookupFunctionBuilder(name).get(), "built-in")
+
+
 def register(spark: SparkSession) -> None:
+    register_top_k(spark)
     for f, kind in FUNCTIONS.items():
         spark.udf.register(f.__name__, pandas_udf(f, kind))
     for name, (cls, kind) in TABLE_FUNCTIONS.items():

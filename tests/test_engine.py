@@ -1,5 +1,6 @@
 import random
 import re
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -63,6 +64,30 @@ def test_keep_counts_all_ties(spark):
         assert sorted(map(tuple, Engine(spark).sql(over, "oracle").collect())) == [(1, 8), (2, 6)]
 
 
+def test_aggregates_hold_few_values(spark, tmp_path):
+    """Quantiles of large groups keep values near the quantile, first rows only as many as asked for, lengths of lists no list."""
+    con = duckdb.connect()
+    con.sql(f"""copy (select i % 3 as g, case when i % 50 > 0 then (hash(i) % 100003)::double / 8 end as x, (hash(i + 7) % 20)::int as few, i as k, ((hash(i + 9) % 9999) / 100)::decimal(9, 2) as d
+        from range(90000) r(i) union all select 9, i, i, i, i from range(5) r(i) union all select null, null, 1, null, 2) to '{tmp_path}/sized.parquet' (format parquet)""")
+    con.sql(f"create view sized as select * from '{tmp_path}/sized.parquet'")
+    e = Engine(spark, "duckdb").register(str(tmp_path), ["sized"])
+    shares = [0, 0.0004, 0.3, 0.5, 0.9, 0.9995, 1]
+    items = [f"quantile_{kind}({c}, {p}) AS {kind}{c}{i}" for i, p in enumerate(shares) for kind, c in (("cont", "x"), ("disc", "d"), ("cont", "few"), ("disc", "x"), ("disc", "k"))]
+    items += ["median(x) AS m", "quantile_cont(x, 0.2) FILTER (WHERE k > 70000) AS f", "len(list(x)) AS n", "len(list(k) FILTER (WHERE k > 5)) AS nf"]
+    items += [f"array_to_string(arg_{m}(k, x + k / 1e7, 4), ',') AS {m}4" for m in ("max", "min")]
+    for tail in (" GROUP BY g", "", " WHERE k > 100 GROUP BY g HAVING median(x) > 0 ORDER BY median(x)"):
+        sql = f"SELECT {'g, ' if 'GROUP' in tail else ''}{', '.join(items)} FROM sized{tail}"
+        text = e.to_spark(sql)[0]
+        assert "collect_list" not in text and "__q.__b0" in text
+        flat = lambda rows: sorted((tuple(round(float(v), 6) if isinstance(v, (int, float, Decimal)) else v or 0 for v in r) for r in rows), key=str)
+        got, want = flat(e.sql(sql).collect()), flat(con.sql(sql).fetchall())
+        assert not [(name, x, y) for a, b in zip(got, want, strict=True) for name, x, y in zip(con.sql(sql).columns, a, b, strict=True) if x != y]
+    odd = spark.createDataFrame([(float(v),) for v in ["nan", "inf", "-inf"]], "x double").crossJoin(spark.range(4000)).select("x")
+    odd.createOrReplaceTempView("odd")
+    got = e.sql("SELECT quantile_disc(x, 0.1) AS a, quantile_disc(x, 0.5) AS b, quantile_disc(x, 0.9) AS c FROM odd").first()
+    assert str(tuple(got)) == "(-inf, inf, nan)"
+
+
 def test_row_level_writes(spark):
     e = Engine(spark)
     spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string").createOrReplaceTempView("w")
